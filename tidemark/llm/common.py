@@ -90,7 +90,7 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Runs ``make()(ids, texts)`` over slices of the texts; it returns columns by name.
 
     ``make`` is called once a task, on the executor, and holds what a task needs.
@@ -103,7 +103,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", limit):
             got = step(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
