@@ -45,7 +45,7 @@ RULES = (
     Rule("long_words", "n_words > 0 AND word_chars > 20 * n_words"),
     Rule("short_words", "n_words > 0 AND word_chars < 2 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines"),
     Rule("few_letters", "n_words > 0 AND length(regexp_replace(text, '[^\\\\p{L}]', '')) * 2 < word_chars"),
     Rule("few_distinct_words", "n_words >= 50 AND 20 * size(array_distinct(words)) < n_words"),
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, packing, quality, tokenfile
+from . import bpe, chat, html, media, packing, pii, quality, simhash, substrings, tokenfile
 from .common import table
 
 
@@ -30,6 +30,23 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -39,7 +56,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_ts, op2_byte_bpe, op3_token_files, op4_chat_format, op9_quality_rules, op10_best_fit)}
+    return {f.__name__: f for f in (op1_media_ts, op2_byte_bpe, op3_token_files, op4_chat_format, op5_substring_dedup, op6_simhash, op7_pii, op8_main_text, op9_quality_rules, op10_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
