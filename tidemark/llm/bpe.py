@@ -20,7 +20,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .chunks import Cached, cut, pattern_matches
+from .chunks import Cached, chunk_of, cut, pattern_matches
 from .common import map_texts, vocabulary
 
 #: Bytes of a match beyond which the queue takes over from the query.
@@ -148,7 +148,7 @@ def codec(path: str) -> tuple[Codec, Cached]:
         words = Cached(c.code_words, limit=400_000)
 
         def make(chunks: list[str]) -> list[tuple[str, bytes]]:
-            values = words([pattern_matches(x) for x in chunks])
+            values = words([pattern_matches(chunk_of(x)) for x in chunks])
             return [v[0] if len(v) == 1 else (",".join([a for a, _ in v]), b"".join([b for _, b in v])) for v in values]
 
         _codecs[path] = c, Cached(make, limit=400_000)

@@ -30,18 +30,30 @@ def plain_space(text: str) -> bool:
     return not any(c in text for c in (OTHER_SPACE[:8] if text.isascii() else OTHER_SPACE))
 
 
+#: Marks a piece that has no space before it.
+BARE = "\0"
+
+
 def cut(text: str) -> list[str]:
-    """Pieces that join to ``text``, cut only where a match of the pattern ends.
+    """Pieces of a text, cut only where a match of the pattern ends; ``chunk_of`` gives each one's text.
 
-    Without white space left of it, a space always begins a match, whatever follows.
+    Without white space left of it, a space always begins a match, whatever follows. Pieces leave that
+    space out, so that they are just what ``split`` made.
     """
     if not text:
         return []
-    if not plain_space(text):
-        return _matches(text)
-    first, *rest = text.split(" ")
-    out = [" " + x for x in rest]
-    return [first, *out] if first else out
+    if BARE in text or not plain_space(text):
+        return [BARE + x for x in _matches(text)]
+    out = text.split(" ")
+    if out[0]:
+        out[0] = BARE + out[0]
+    else:
+        del out[0]
+    return out
+
+
+def chunk_of(piece: str) -> str:
+    return piece[1:] if piece[:1] == BARE else " " + piece
 
 
 class Cached:
@@ -55,7 +67,7 @@ class Cached:
         if len(self.known) > self.limit:
             self.known = {}
         known = self.known
-        fresh = list(set().union(*lists) - known.keys())
+        fresh = list({c for x in lists for c in x if c not in known})
         if fresh:
             known.update(zip(fresh, self.make(fresh), strict=True))
         out = [list(map(known.__getitem__, x)) for x in lists]

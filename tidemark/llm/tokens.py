@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .chunks import Cached, cut, pattern_matches
+from .chunks import Cached, chunk_of, cut, pattern_matches
 
 
 def load(path: str):
@@ -64,10 +64,10 @@ class Encoder:
     words, which the library encodes once each.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         self.tokenizer = load(path)
         self.kind = _kind(self.tokenizer)
-        self.words = Cached(self._library, limit)
+        self.words = Cached(self._library, limit // 2)
         self.chunks = Cached(self._from_words, limit)
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -82,7 +82,7 @@ class Encoder:
 
     def _from_words(self, chunks: list[str]) -> list[bytes]:
         if self.kind == "bytes":
-            parts = [pattern_matches(c) if _latin(c) else [c] for c in chunks]
+            parts = [pattern_matches(c) if _latin(c) else [c] for c in map(chunk_of, chunks)]
         else:
             parts = [[c] if c.isalpha() else _word_parts(c.lower()) if c.isascii() and c.isprintable() else [c] for c in chunks]
         return [v[0] if len(v) == 1 else b"".join(v) for v in self.words(parts)]
@@ -112,7 +112,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_turns(texts: list[str], step: Callable[[list[str]], list], size: int = 1 << 20) -> list:
+def in_turns(texts: list[str], step: Callable[[list[str]], list], size: int = 1 << 16) -> list:
     """``step`` over runs of texts of about ``size`` characters."""
     out, run, n = [], [], 0
     for t in texts:
