@@ -9,17 +9,22 @@ from ..errors import BadData
 from ..functions import labels as L
 from ..functions.exprs import INF, NAN, lit, nan_first, quantile_of_sorted, text
 
-V = F.col("value")
-_real = F.when(~F.isnan(V), V)
+def V() -> Column:  # noqa: N802  a column needs a running session
+    return F.col("value")
+
+
+def _real() -> Column:
+    return F.when(~F.isnan(V()), V())
+
 
 PLAIN = {
-    "sum": lambda: F.sum(V),
+    "sum": lambda: F.sum(V()),
     "count": lambda: F.count("*").cast("double"),
-    "min": lambda: F.coalesce(F.min(_real), lit(NAN)),
-    "max": lambda: F.coalesce(F.max(_real), lit(NAN)),
-    "avg": lambda: F.avg(V),
-    "stddev": lambda: F.stddev_pop(V),
-    "stdvar": lambda: F.var_pop(V),
+    "min": lambda: F.coalesce(F.min(_real()), lit(NAN)),
+    "max": lambda: F.coalesce(F.max(_real()), lit(NAN)),
+    "avg": lambda: F.avg(V()),
+    "stddev": lambda: F.stddev_pop(V()),
+    "stdvar": lambda: F.var_pop(V()),
     "group": lambda: F.max(lit(1)),
 }
 
@@ -40,9 +45,9 @@ def quantile(d: DataFrame, key: Column, phi: float) -> DataFrame:
     g = d.withColumn("lkey", key).groupBy("lkey", "ts")
     if not 0 <= phi <= 1:
         return g.agg(F.max(lit(NAN if phi != phi else INF if phi > 1 else -INF)).alias("value"))
-    counted = g.agg(F.percentile(_real, F.lit(phi)).alias("p"), F.count_if(F.isnan(V)).alias("odd"), F.collect_list(F.when(F.isnan(V), V)).alias("nans"), F.count("*").alias("n"))
+    counted = g.agg(F.percentile(_real(), F.lit(phi)).alias("p"), F.count_if(F.isnan(V())).alias("odd"), F.collect_list(F.when(F.isnan(V()), V())).alias("nans"), F.count("*").alias("n"))
     # with m NaNs in front, position phi * (n - 1) among all values is m places earlier among the real ones
-    exact = d.withColumn("lkey", key).join(counted.where("odd > 0").select("lkey", "ts"), ["lkey", "ts"], "left_semi").groupBy("lkey", "ts").agg(F.collect_list(V).alias("v"))
+    exact = d.withColumn("lkey", key).join(counted.where("odd > 0").select("lkey", "ts"), ["lkey", "ts"], "left_semi").groupBy("lkey", "ts").agg(F.collect_list(V()).alias("v"))
     mixed = exact.select("lkey", "ts", quantile_of_sorted(lit(phi), nan_first(F.col("v"))).alias("value"))
     return counted.where("odd = 0").select("lkey", "ts", F.col("p").alias("value")).unionByName(mixed)
 
@@ -52,7 +57,7 @@ def ranked(op: str, d: DataFrame, key: Column, k: int) -> DataFrame:
     salted parts first, so that a large group is never ranked in one task."""
     if k < 1:
         return d.limit(0)
-    order = [F.col("lkey")] if op == "limitk" else [F.isnan(V), V.desc() if op == "topk" else V.asc(), F.col("lkey")]
+    order = [F.col("lkey")] if op == "limitk" else [F.isnan(V()), V().desc() if op == "topk" else V().asc(), F.col("lkey")]
     d = d.withColumn("_g", key).withColumn("_salt", F.pmod(F.xxhash64("lkey"), F.lit(64)))
     for by in (("_g", "ts", "_salt"), ("_g", "ts")):
         d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k)
@@ -69,7 +74,7 @@ def limit_ratio(d: DataFrame, ratio: float) -> DataFrame:
 
 
 def count_values(d: DataFrame, key: Column, label: str) -> DataFrame:
-    return d.withColumn("_g", key).withColumn("lkey", L.put(F.col("_g"), label, text(V))).groupBy("lkey", "ts").agg(F.count("*").cast("double").alias("value"))
+    return d.withColumn("_g", key).withColumn("lkey", L.put(F.col("_g"), label, text(V()))).groupBy("lkey", "ts").agg(F.count("*").cast("double").alias("value"))
 
 
 def aggregate(op: str, d: DataFrame, labels: tuple[str, ...], without: bool, grouped: bool, param: float | str | None) -> DataFrame:

@@ -18,13 +18,24 @@ from .grid import seconds
 #: Milliseconds of a slice of a series: the most that one task sorts of it.
 SLICE = 86_400_000
 
-V, T, TS = F.col("value"), F.col("t"), F.col("ts")
+
+def V() -> Column:  # noqa: N802  a column needs a running session
+    return F.col("value")
+
+
+def T() -> Column:  # noqa: N802
+    return F.col("t")
+
+
+def TS() -> Column:  # noqa: N802
+    return F.col("ts")
+
 
 
 def with_previous(samples: DataFrame, slice_ms: int = SLICE) -> DataFrame:
     """Adds time and value of the sample before in the series. A series is sorted slice by slice of time;
     only each slice's last sample, one row, is carried on to the next."""
-    d = samples.withColumn("_s", F.floor(T / slice_ms))
+    d = samples.withColumn("_s", F.floor(T() / slice_ms))
     tails = d.groupBy("lkey", "_s").agg(F.max(F.struct("t", "value")).alias("_tail"))
     tails = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy("lkey").orderBy("_s")))
     w = Window.partitionBy("lkey", "_s").orderBy("t")
@@ -38,15 +49,15 @@ def _nan_if(cond: Column, otherwise: Column) -> Column:
 
 def _extrapolated(counter: bool, per_second: bool) -> Callable:
     def out(span: int, offset: int) -> list[Column]:
-        within = F.col("pt") >= TS - offset - span
+        within = F.col("pt") >= TS() - offset - span
         n = F.count("*")
-        first, last = F.min(T), F.max(T)
-        v0, v1 = F.min_by(V, T), F.max_by(V, T)
-        drops = F.sum(F.when(within & (V < F.col("pv")), F.col("pv")).otherwise(0.0))
+        first, last = F.min(T()), F.max(T())
+        v0, v1 = F.min_by(V(), T()), F.max_by(V(), T())
+        drops = F.sum(F.when(within & (V() < F.col("pv")), F.col("pv")).otherwise(0.0))
         delta = v1 - v0 + (drops if counter else lit(0))
         sampled = seconds(last - first)
         gap = sampled / (n - 1)
-        end = TS - offset
+        end = TS() - offset
         begin = seconds(first - (F.max(end) - span))
         after = seconds(F.max(end) - last)
         if counter:
@@ -61,11 +72,11 @@ def _extrapolated(counter: bool, per_second: bool) -> Callable:
 
 def _last_two(kind: str) -> Callable:
     def out(span: int, offset: int) -> list[Column]:
-        two = F.max_by(F.struct("t", "value", "pt", "pv"), T)
+        two = F.max_by(F.struct("t", "value", "pt", "pv"), T())
         step = seconds(two["t"] - two["pt"])
         plain = two["value"] - two["pv"]
         value = F.when(two["value"] < two["pv"], two["value"]).otherwise(plain) / step if kind == "irate" else plain
-        odd = F.max(F.isnan(V)) if kind == "irate" else F.lit(False)
+        odd = F.max(F.isnan(V())) if kind == "irate" else F.lit(False)
         enough = F.count("*") >= 2
         return [F.when(enough, F.when(odd, lit(NAN)).otherwise(value)).alias("value")]
 
@@ -74,12 +85,12 @@ def _last_two(kind: str) -> Callable:
 
 def _pairs(kind: str) -> Callable:
     def out(span: int, offset: int) -> list[Column]:
-        within = F.col("pt") >= TS - offset - span
+        within = F.col("pt") >= TS() - offset - span
         if kind == "resets":
-            hit = within & ~F.isnan(V) & ~F.isnan("pv") & (V < F.col("pv"))
+            hit = within & ~F.isnan(V()) & ~F.isnan("pv") & (V() < F.col("pv"))
             return [F.sum(F.when(hit, 1.0).otherwise(0.0)).alias("value")]
-        odd = within & (F.isnan(V) | F.isnan("pv"))
-        return [_nan_if(F.coalesce(odd, F.lit(False)), F.sum(F.when(within & (V != F.col("pv")), 1.0).otherwise(0.0))).alias("value")]
+        odd = within & (F.isnan(V()) | F.isnan("pv"))
+        return [_nan_if(F.coalesce(odd, F.lit(False)), F.sum(F.when(within & (V() != F.col("pv")), 1.0).otherwise(0.0))).alias("value")]
 
     return out
 
@@ -88,16 +99,16 @@ def _line(ahead: float | None) -> Callable:
     """Least-squares slope, or the line's value ``ahead`` seconds behind the evaluation time."""
 
     def out(span: int, offset: int) -> list[Column]:
-        x = seconds(T - TS)
+        x = seconds(T() - TS())
         n = F.count("*")
-        odd = F.max(F.isnan(V))
-        slope = F.coalesce(F.regr_slope(V, x), lit(NAN))
+        odd = F.max(F.isnan(V()))
+        slope = F.coalesce(F.regr_slope(V(), x), lit(NAN))
         if ahead is None:
             value = slope
         else:
-            flat = F.min(V) == F.max(V)
-            value = F.when(flat & (F.abs(F.max(V)) < INF), F.max(V)).otherwise(slope * ahead + F.coalesce(F.regr_intercept(V, x), lit(NAN)))
-            value = F.when(F.max(F.abs(V)) == INF, lit(NAN)).otherwise(value)
+            flat = F.min(V()) == F.max(V())
+            value = F.when(flat & (F.abs(F.max(V())) < INF), F.max(V())).otherwise(slope * ahead + F.coalesce(F.regr_intercept(V(), x), lit(NAN)))
+            value = F.when(F.max(F.abs(V())) == INF, lit(NAN)).otherwise(value)
         return [F.when(n >= 2, F.when(odd, lit(NAN)).otherwise(value)).alias("value")]
 
     return out
@@ -109,26 +120,26 @@ def _simple(make: Callable[[], Column]) -> Callable:
 
 def _time_of(best: str) -> Callable:
     def out(span: int, offset: int) -> list[Column]:
-        real = F.when(~F.isnan(V), F.struct(V.alias("v"), (T if best == "max" else -T).alias("o"), T.alias("t")))
+        real = F.when(~F.isnan(V()), F.struct(V().alias("v"), (T() if best == "max" else -T()).alias("o"), T().alias("t")))
         pick = F.max(real) if best == "max" else F.min(real)
-        return [seconds(F.coalesce(pick["t"], F.max(T))).alias("value")]
+        return [seconds(F.coalesce(pick["t"], F.max(T()))).alias("value")]
 
     return out
 
 
 AGGREGATES: dict[str, Callable] = {
-    "sum_over_time": _simple(lambda: F.sum(V)),
-    "avg_over_time": _simple(lambda: F.avg(V)),
-    "min_over_time": _simple(lambda: _nan_if(F.isnan(V), F.min(V))),
-    "max_over_time": _simple(lambda: F.max(V)),
+    "sum_over_time": _simple(lambda: F.sum(V())),
+    "avg_over_time": _simple(lambda: F.avg(V())),
+    "min_over_time": _simple(lambda: _nan_if(F.isnan(V()), F.min(V()))),
+    "max_over_time": _simple(lambda: F.max(V())),
     "count_over_time": _simple(lambda: F.count("*")),
-    "stddev_over_time": _simple(lambda: F.stddev_pop(V)),
-    "stdvar_over_time": _simple(lambda: F.var_pop(V)),
+    "stddev_over_time": _simple(lambda: F.stddev_pop(V())),
+    "stdvar_over_time": _simple(lambda: F.var_pop(V())),
     "present_over_time": _simple(lambda: F.max(lit(1))),
-    "last_over_time": _simple(lambda: F.max_by(V, T)),
-    "first_over_time": _simple(lambda: F.min_by(V, T)),
-    "ts_of_first_over_time": _simple(lambda: seconds(F.min(T))),
-    "ts_of_last_over_time": _simple(lambda: seconds(F.max(T))),
+    "last_over_time": _simple(lambda: F.max_by(V(), T())),
+    "first_over_time": _simple(lambda: F.min_by(V(), T())),
+    "ts_of_first_over_time": _simple(lambda: seconds(F.min(T()))),
+    "ts_of_last_over_time": _simple(lambda: seconds(F.max(T()))),
     "ts_of_max_over_time": _time_of("max"),
     "ts_of_min_over_time": _time_of("min"),
     "delta": _extrapolated(False, False),

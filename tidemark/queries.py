@@ -250,7 +250,7 @@ q("histogram_fraction", f"histogram_fraction(20, 80, {B})", B, ET, f"SELECT even
 q("histogram_count", f"histogram_count({B})", B, ET, f"SELECT event_type, ts, max(total) AS v FROM {_seg} GROUP BY 1, 2")
 q("histogram_sum", f"histogram_sum({B})", B, ET, f"SELECT event_type, ts, {_sum} AS v FROM {_seg} GROUP BY 1, 2")
 q("histogram_avg", f"histogram_avg({B})", B, ET, f"SELECT event_type, ts, {_sum} / max(total) AS v FROM {_seg} WHERE total > 0 GROUP BY 1, 2")
-q("histogram_stdvar", f"histogram_stdvar({B})", B, ET, f"SELECT event_type, ts, {_var} AS v FROM {_mean} GROUP BY 1, 2", digits=9 if _op == "avg" else 4)
+q("histogram_stdvar", f"histogram_stdvar({B})", B, ET, f"SELECT event_type, ts, {_var} AS v FROM {_mean} GROUP BY 1, 2", digits=4)
 q("histogram_stddev", f"histogram_stddev({B})", B, ET, f"SELECT event_type, ts, sqrt({_var}) AS v FROM {_mean} GROUP BY 1, 2")
 
 # subqueries, rules
