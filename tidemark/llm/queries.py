@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, html, media, packing, pii, quality, simhash, substrings, tokenfile
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.chat_digests(chat.format_chats(turns))
+    return chat.chat_digests(chat.format_chats(turns)).drop("n_tokens", "loss_tokens")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
