@@ -117,4 +117,6 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     packed = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
     order = ordered(measured(packed, rules))
-    return features(packed).where(~F.col("base_failed") & verdict(order).isNull()).select("row.*")
+    judged = features(packed).select("row", (~F.col("base_failed") & verdict(order).isNull()).alias("kept"), F.spark_partition_id().alias("part"))
+    # a filter is not moved below a column like part, which would copy the features into it many times over
+    return judged.where("kept AND part >= 0").select("row.*")
