@@ -6,8 +6,8 @@ minimiser's bucket; there the windows are sorted and equal ones are found by the
 
 Most text never travels. A first pass finds the minimisers that occur in two documents; a bit table of
 fixed size (``FILTER_BITS``) tells the second pass which super-k-mers to pack. A false positive, or a table
-that fills up, only packs more. Minimisers that occur more than ``HOT`` times do not make buckets: their
-windows go each to a bucket of its own words. Equal strings are merged before they are shuffled, with the
+that fills up, only packs more. Minimisers with more than ``HOT`` different super-k-mers do not make buckets:
+their windows go each to a bucket of its own words. Equal strings are merged before they are shuffled, with the
 smallest doc_id, so that a passage in a third of all documents is a few rows of each task.
 
 A word is removed if a window that covers it also starts in a document with a smaller doc_id.
@@ -128,18 +128,25 @@ def row_key(text: str) -> int:
 
 
 def minimisers(docs: DataFrame) -> DataFrame:
-    """minimiser, first and last doc_id and number of super-k-mers, over all documents."""
+    """minimiser, first and last doc_id and number of different super-k-mers, over all documents.
+    Copies of a super-k-mer are merged before the shuffle, by a hash of its words."""
 
     def make():
         def step(ids: list, texts: list[str]) -> dict:
             known = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
             w = Windows([t for _, t in known])
-            head, _ = w.runs()
-            return {"m": w.minimiser[head].view(np.int64) if len(head) else [], "doc_id": np.array([i for i, _ in known], np.int64)[w.doc[head]]}
+            head, size = w.runs()
+            if not len(head):
+                return {"m": [], "h": [], "doc_id": []}
+            at = w.at[head]
+            words = _spans(w.words, at, at + size + WINDOW - 1, WORD_BASE)
+            return {"m": w.minimiser[head].view(np.int64), "h": words.view(np.int64), "doc_id": np.array([i for i, _ in known], np.int64)[w.doc[head]]}
 
         return step
 
-    return map_texts(docs, make, "m long, doc_id long", limit=TEXT_SLICE).groupBy("m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    rows = map_texts(docs, make, "m long, h long, doc_id long", limit=TEXT_SLICE)
+    strings = rows.groupBy("m", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return strings.groupBy("m").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
 
 
 def bit_table(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -335,7 +342,7 @@ def _row_key_udf() -> Callable:
     def key(texts: pd.Series) -> pd.Series:
         return pd.Series([row_key(t) for t in texts], dtype="int64")
 
-    return key
+    return key.asNondeterministic()  # computed once, not again in a filter
 
 
 def _kept_udf() -> Callable:
@@ -345,4 +352,4 @@ def _kept_udf() -> Callable:
     def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([None if r is None else b" ".join(kept_words(t.encode().split(), r)).decode() for t, r in zip(texts, runs, strict=True)])
 
-    return kept
+    return kept.asNondeterministic()
