@@ -107,7 +107,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     order = ordered(measured(plain, rules))
     d = features(plain).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(order)))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _held(F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+
+
+def _held(cond: Column) -> Column:
+    """The same condition, but no filter on it moves below its column: that would copy the features
+    into the filter many times over."""
+    return cond & (F.spark_partition_id() >= 0)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -117,6 +123,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     packed = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
     order = ordered(measured(packed, rules))
-    judged = features(packed).select("row", (~F.col("base_failed") & verdict(order).isNull()).alias("kept"), F.spark_partition_id().alias("part"))
-    # a filter is not moved below a column like part, which would copy the features into it many times over
-    return judged.where("kept AND part >= 0").select("row.*")
+    return features(packed).select("row", _held(~F.col("base_failed") & verdict(order).isNull()).alias("kept")).where("kept").select("row.*")
