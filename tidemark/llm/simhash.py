@@ -37,6 +37,8 @@ GROUP = 2048
 #: Open bits below which a split key is starred by aggregation.
 FEW_BITS = 12
 PARTITIONS = (2, 3, 4)
+#: Comparisons that cost about as much as one key row, which is shuffled and sorted.
+ROW_COST = 200
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -151,7 +153,7 @@ def plan(classes: DataFrame, distance: int = DISTANCE) -> list[tuple[int, int]]:
             row, grown = [0.0], pairs.get((m, i), 0.0) + 1
             for t in range(distance + 1):
                 probes = sum(1 for _ in combinations(g, t))
-                row.append(n * probes + grown)
+                row.append(ROW_COST * n * probes + grown)
                 grown *= 1 + sum(differ[b] / (1 - differ[b]) for b in g) / (t + 1)
             costs.append(row)
         cost, chosen = allocate(costs, distance - m + 1)
