@@ -1,6 +1,6 @@
 """The corpus pipeline over ``documents``.
 
-Quality rules, SimHash near-dedup, substring dedup, PII masking and best-fit packing. Each stage gets what
+Quality rules, near-dedup by shingle similarity, substring dedup, PII masking and best-fit packing. Each stage gets what
 its predecessor kept, in the columns of documents, as a written table; the last one returns packed pieces
 with their ids.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, pii, quality, simhash, substrings
+from tidemark.llm import near, packing, pii, quality, substrings
 from tidemark.llm.common import written
 
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    return near.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,16 +300,3 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
 
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, with their own columns.
-
-    Rows that share a doc_id are copies of one document and a single one of them stays; rows without a
-    doc_id all stay, as nothing names them.
-    """
-    groups = near_groups(docs)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("h"))
-    chosen = packed.join(keep, packed["id"] == keep["kept_id"], "left_semi").groupBy("id").agg(F.min_by("row", "h").alias("row"))
-    return chosen.select("row.*").unionByName(packed.where("id is null").select("row.*"))
