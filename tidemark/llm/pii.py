@@ -47,9 +47,9 @@ _email_head = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_masked_email = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63})+")
+_masked_tail = re.compile(r" ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)+")
 _loose_phone = re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
-_secret = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9_-])")
+_secret = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+")
 _digit = re.compile("[0-9]")
 
 
@@ -65,21 +65,26 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _head(text: str, at: int, end: int) -> int:
+    """Where the local part before ``at`` begins, not before ``end``; ``at`` if there is none."""
+    start, step = at, 64
+    while start > end:
+        lo = max(end, start - step)
+        m = _email_head.search(text, lo, start)
+        if not m:
+            break
+        start = m.start()
+        if start > lo:
+            break
+        step *= 2
+    return start
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches: each begins where the characters before its @ do, or the last match ended."""
     out, end, at = [], 0, text.find("@")
     while at >= 0:
-        start = at
-        step = 64
-        while start > end:
-            lo = max(end, start - step)
-            m = _email_head.search(text, lo, start)
-            if not m:
-                break
-            start = m.start()
-            if start > lo:
-                break
-            step *= 2
+        start = _head(text, at, end)
         m = _email_tail.match(text, at) if start < at else None
         if m:
             out.append((start, m.end()))
@@ -88,6 +93,17 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def masked_emails(text: str) -> list[tuple[int, int]]:
+    """Addresses whose @ is written out, with their whole local part."""
+    out, end = [], 0
+    for m in _masked_tail.finditer(text):
+        start = _head(text, m.start(), end)
+        if start < m.start():
+            end = m.end()
+            out.append((start, end))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds, in order."""
     out = [(s, EMAIL, e) for s, e in emails(text)] if "@" in text else []
@@ -103,7 +119,7 @@ def _proposals(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of looser patterns."""
     out = []
     if "(at)" in text or "[at]" in text:
-        out += [(m.start(), EMAIL, m.end()) for m in _masked_email.finditer(text)]
+        out += [(s, EMAIL, e) for s, e in masked_emails(text)]
     if _digit.search(text):
         out += [(m.start(), IP, m.end()) for m in _ip.finditer(text)]
         out += [(m.start(), CARD, m.end()) for m in _card.finditer(text) if 13 <= len(_digits(m[0])) <= 19]
