@@ -40,12 +40,44 @@ RESUME = frozenset("article main h1 h2 p".split())
 
 _tag = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Characters within which one expression matches a whole tag; longer tags are scanned in steps.
 TAG_CHARS = 16_384
+_tag_name = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_unquoted = re.compile(r"[^>\"']*+")
+_read = re.compile(r"(?<![\w-])(?:class|id|role|aria-hidden|style|itemprop)\s*=\s*\Z", re.I)
+
+
+def _long_tag(page: str, lt: int, failed: set[int]) -> tuple[str, str, str, int] | None:
+    """(slash, name, attributes, end) of a tag of any length, or None if a quote or the tag stays open.
+
+    Quoted values of attributes that nothing reads are left out, so that their words name no attribute.
+    ``failed`` holds the opening quotes from which a scan of this page has failed, so that no part of a
+    page is scanned again and again.
+    """
+    m = _tag_name.match(page, lt)
+    if not m:
+        return None
+    at, seen, kept = m.end(), [], []
+    while True:
+        start, at = at, _unquoted.match(page, at).end()
+        kept.append(page[start:at])
+        if at == len(page) or at in failed:
+            break
+        if page[at] == ">":
+            return m[1], m[2], "".join(kept), at + 1
+        seen.append(at)
+        end = page.find(page[at], at + 1)
+        if end < 0:
+            break
+        kept.append(page[at : end + 1] if _read.search(kept[-1][-100:]) else page[at] * 2)
+        at = end + 1
+    failed.update(seen)
+    return None
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
     """('text', '', characters), ('open', name, attributes) and ('close', name, '') in page order."""
-    out, at, n = [], 0, len(page)
+    out, at, n, failed = [], 0, len(page), set()
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -63,7 +95,8 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
             at = n if end < 0 else end + 1
             continue
         m = _tag.match(page, lt, min(n, lt + TAG_CHARS))
-        if not m:
+        tag = (m[1], m[2], m[3], m.end()) if m else _long_tag(page, lt, failed) if lt + TAG_CHARS < n else None
+        if not tag:
             if not re.match(r"</?[A-Za-z]", page[lt : lt + 3]):
                 out.append(("text", "", "<"))
                 at = lt + 1
@@ -75,11 +108,11 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
             out.append(("close" if page[lt + 1] == "/" else "open", name, ""))
             at = end + 1
             continue
-        name, at = m[2].lower(), m.end()
-        if m[1]:
+        name, at = tag[1].lower(), tag[3]
+        if tag[0]:
             out.append(("close", name, ""))
             continue
-        out.append(("open", name, m[3]))
+        out.append(("open", name, tag[2]))
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
             if not end:
