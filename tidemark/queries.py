@@ -15,11 +15,14 @@ from .engine import Engine, with_labels
 from .plans.rules import Rules
 from .sources.tables import BOUNDS, catalog
 
-START, END, STEP = 1704412800000, 1705276800000, 43_200_000
+#: The range queries span all events: 2024-01-01 06:00, whose windows reach the first, to 2024-01-31 06:00.
+START, END, STEP = 1704088800000, 1706680800000, 43_200_000
+#: Time of the instant queries, and bounds of a bounded list of series.
+INSTANT, BOUNDED = 1704412800000, (1704412800000, 1705276800000)
 LOOKBACK = 86_400_000
 DAY = 86_400_000
-#: Days of the long tables: a week of 1996, which all scale factors cover.
-LONG_START, LONG_END = 825_638_400_000, 828_230_400_000
+#: Days of the long tables, from the first order in 1995 to the last shipping date in 2001.
+LONG_START, LONG_END = 788_918_400_000, 1_004_832_000_000
 
 SAMPLES = {
     "events_value": "SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS t, value AS v FROM events",
@@ -97,6 +100,8 @@ REGISTERED: dict[str, Query] = {}
 
 
 def q(name: str, text: str, metrics: str | tuple[str, ...], labels: tuple[str, ...], sql: str | None, **more) -> None:
+    if more.get("instant"):
+        more.setdefault("start", INSTANT)
     REGISTERED[name] = Query(text, (metrics,) if isinstance(metrics, str) else metrics, labels, sql, **more)
 
 
@@ -141,8 +146,8 @@ q("changes", f"changes({V}[1d])", V, ET, over(V, f"sum(CASE WHEN pt >= ts - {DAY
 q("resets", f"resets({V}[1d])", V, ET, over(V, f"sum(CASE WHEN pt >= ts - {DAY} AND v < pv THEN 1 ELSE 0 END)"))
 q("double_exponential_smoothing", f"double_exponential_smoothing({V}[1d], 0.3, 0.6)", V, ET, None)
 q("holt_winters", f"holt_winters({V}[1d], 0.5, 0.5)", V, ET, None)
-q("range_offset", f"sum_over_time({V}[6h] offset 1d)", V, ET, f"SELECT event_type, ts, sum(v) AS v FROM {win(V, 21_600_000, DAY)} GROUP BY 1, 2")
-q("range_overlapping", f"max_over_time({V}[3d])", V, ET, over(V, "max(v)", 3 * DAY), step=3_600_000, end=START + DAY)
+q("range_offset", f"sum_over_time({V}[6h] offset 1d)", V, ET, f"SELECT event_type, ts, sum(v) AS v FROM {win(V, 21_600_000, DAY)} GROUP BY 1, 2", step=21_600_000, end=END + DAY)
+q("range_overlapping", f"max_over_time({V}[3d])", V, ET, over(V, "max(v)", 3 * DAY), step=3_600_000)
 q("rate_daily_quantity", f"rate({Q}[7d])", Q, ("returnflag", "linestatus"), rate(Q, 7 * DAY), **LONG)
 
 # aggregations
@@ -277,14 +282,14 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _series_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_labels(Engine(catalog(spark, sf_dir)).series(['events_value{event_type="click"}'], START / 1000, END / 1000), "event_type", "user_id")
+    return with_labels(Engine(catalog(spark, sf_dir)).series(['events_value{event_type="click"}'], BOUNDED[0] / 1000, BOUNDED[1] / 1000), "event_type", "user_id")
 
 
 METADATA: dict[str, tuple[Callable, str]] = {
     "labels": (_labels, "SELECT unnest(['__name__', 'event_type', 'user_id', 'le', 'returnflag', 'linestatus', 'orderstatus', 'orderpriority', 'job', 'instance', 'region']) AS label"),
     "label_values": (_values, "SELECT DISTINCT event_type AS value FROM events"),
     "series": (_series, f"SELECT DISTINCT '{V}' AS __name__, event_type, '' AS orderstatus, '' AS orderpriority FROM events UNION ALL SELECT DISTINCT '{N}', '', o_orderstatus, o_orderpriority FROM orders"),
-    "series_bounded": (_series_bounded, f"SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type = 'click' AND epoch_us(ts) // 1000 BETWEEN {START} AND {END}"),
+    "series_bounded": (_series_bounded, f"SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type = 'click' AND epoch_us(ts) // 1000 BETWEEN {BOUNDED[0]} AND {BOUNDED[1]}"),
 }
 
 
