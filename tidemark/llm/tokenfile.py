@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_folder, open_fs, slices, texts_of, vocabulary, written
-from .tokens import encoder, in_turns
+from .tokens import encoder, with_end
 
 MAGIC, HEAD, TAIL, BLOCK = b"TMIDS1\0\0", struct.Struct("<8sIIQQ"), struct.Struct("<QQ"), 1 << 16
 NO_ID = -(1 << 63)
@@ -63,18 +63,19 @@ class Writer:
             raise ValueError("a block must end at a whole byte")
         self.out, self.bits, self.block = stream, bits, block
         self.rest = np.zeros(0, "<u4")
-        self.offsets, self.docs, self.at, self.total = [], [], HEAD.size, 0
+        self.offsets, self.index, self.docs, self.at, self.total = [], [], 0, HEAD.size, 0
         self.out.write(bytes(HEAD.size))
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+    def add(self, doc_ids: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with their numbers of ids, and all their ids one after the other."""
+        self.index.append(np.stack([np.array(doc_ids, "<i8"), sizes.astype("<i8")], axis=1))
+        self.docs += len(doc_ids)
         self.total += len(ids)
-        self.rest = np.concatenate([self.rest, ids]) if len(self.rest) else ids
-        if len(self.rest) >= self.block:
-            full = len(self.rest) // self.block * self.block
-            for i in range(0, full, self.block):
-                self._put(self.rest[i : i + self.block])
-            self.rest = self.rest[full:]
+        rest = np.concatenate([self.rest, ids])
+        full = len(rest) // self.block * self.block
+        for i in range(0, full, self.block):
+            self._put(rest[i : i + self.block])
+        self.rest = rest[full:].copy()
 
     def _put(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
@@ -86,9 +87,11 @@ class Writer:
         """Writes the tables and returns the header, which belongs at the start."""
         if len(self.rest):
             self._put(self.rest)
-        index = np.array(self.docs, "<i8").reshape(-1, 2)
-        self.out.write(np.array(self.offsets, "<u8").tobytes() + index.tobytes() + TAIL.pack(self.at, len(self.offsets)))
-        return HEAD.pack(MAGIC, self.bits, self.block, len(self.docs), self.total)
+        self.out.write(np.array(self.offsets, "<u8").tobytes())
+        for part in self.index:
+            self.out.write(part.tobytes())
+        self.out.write(TAIL.pack(self.at, len(self.offsets)))
+        return HEAD.pack(MAGIC, self.bits, self.block, self.docs, self.total)
 
 
 class Reader:
@@ -137,8 +140,8 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     """Encodes the texts in ascending doc_id order, one file a partition, and returns the manifest
     (part, file, n_docs, n_ids), itself kept as a table beside the files.
 
-    Rows are dealt by range of doc_id, and by a hash of the text where many share one. A task that runs twice writes two files; the manifest has the one
-    of the attempt that counted.
+    Rows are dealt by range of doc_id, and by a hash of the text where many share one. A task that runs
+    twice writes two files; the manifest has the one of the attempt that counted.
     """
     spark = docs.sparkSession
     path = path or vocabulary("byte_bpe_50k.json")
@@ -157,15 +160,13 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
                 store = fs.open_output_stream(f"{at}/{name}.body")
                 out = Writer(store, width(enc.tokenizer.get_vocab_size()))
-            end = np.array([end_id], "<u4")
-            ids = b.column("doc_id").to_pylist()
-            for doc_id, raw in zip(ids, in_turns(b.column("text").to_pylist(), enc.encode), strict=True):
-                out.add(NO_ID if doc_id is None else doc_id, np.concatenate([np.frombuffer(raw, "<u4"), end]))
+            ids, sizes = with_end(*enc.encode(b.column("text")), end_id)
+            out.add([NO_ID if i is None else i for i in b.column("doc_id").to_pylist()], sizes, ids)
         if out is not None:
             head = out.close()
             store.close()
             _finish(fs, f"{at}/{name}", head)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([len(out.docs)], pa.int64()), pa.array([out.total], pa.int64())], names=["part", "file", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([out.docs], pa.int64()), pa.array([out.total], pa.int64())], names=["part", "file", "n_docs", "n_ids"])
 
     rows = texts_of(docs, id_col, text_col)
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
@@ -192,7 +193,8 @@ def _finish(fs, at: str, head: bytes) -> None:
 def read_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 from the files.
 
-    Only the manifest, one row a file, is summed up over all files; each task reads its own files.
+    Only the manifest, one row a file, is summed up over all files. The files are dealt over as many tasks
+    as there are files, a number that adaptive execution leaves alone.
     """
     from pyspark.sql.window import Window
 
@@ -212,7 +214,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    spread = based.repartition(F.col("file"))
+    spread = based.repartition(max(1, manifest.count()), "file")
     return spread.select("file", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -1,13 +1,20 @@
-"""Encoding with the tokenizers library, each distinct chunk once a worker."""
+"""Encoding with the tokenizers library, each distinct piece of a text once a worker."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import re
 
 import numpy as np
+import pyarrow as pa
 
-from .chunks import Cached, chunk_of, cut, pattern_matches
+from .chunks import TextCoder, chunk_of
+
+#: Characters of pieces that go to the library as one text.
+JOINED = 1 << 16
+#: A line of its own between pieces: the line feed itself, or a character that no piece has.
+FEED, MARK = "\n", "\x01"
+_one_word = re.compile(r" ?\S+").fullmatch
 
 
 def load(path: str):
@@ -20,14 +27,6 @@ def load(path: str):
     return t
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 def _kind(tokenizer) -> str:
     """Which cuts are exact for this tokenizer: 'bytes', 'words' or 'none'."""
     import json
@@ -43,63 +42,64 @@ def _kind(tokenizer) -> str:
     return "words" if names == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] else "none"
 
 
-_simple = None
-
-
-def _word_parts(chunk: str) -> list[str]:
-    """Matches within a lower-case chunk of Latin-1 letters, digits and ASCII marks."""
-    global _simple
-    if _simple is None:
-        import re
-
-        _simple = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:(?!')[!-/:-@\[-`{-~]|')+")
-    return _simple.findall(chunk)
-
-
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
+    """``encode(texts)`` gives the ids of an Arrow column of texts, and how many each text has.
 
     The cuts keep the library's result: a byte-level tokenizer never merges over a match of its split
-    pattern, and the word tokenizer drops white space and never merges over it. Chunks then consist of
-    words, which the library encodes once each.
+    pattern, and the word tokenizer drops white space and never merges over it. Unseen pieces go to the
+    library as lines of one text, parted by an id that no piece can have; where the lines that come back
+    are not as many as the pieces, each piece is encoded alone.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str):
         self.tokenizer = load(path)
         self.kind = _kind(self.tokenizer)
-        self.words = Cached(self._library, limit // 2)
-        self.chunks = Cached(self._from_words, limit)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        sizes = [len(e) for e in got]
-        flat = np.fromiter((i for e in got for i in e.ids), "<u4", sum(sizes)).tobytes()
-        out, at = [], 0
-        for n in sizes:
-            out.append(flat[at : at + 4 * n])
-            at += 4 * n
+        self.coder = TextCoder(self._of_pieces, self.kind == "bytes")
+        self.between = FEED if self.kind == "bytes" else f"\n{MARK}\n"
+        got = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.mark = got[0] if len(got) == 1 else -1
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(texts) - 1:
+            return self._each(texts)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)]
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        spaced = self.kind == "bytes"
+        texts = list(map(chunk_of, pieces)) if spaced else pieces
+        out: list = [None] * len(texts)
+        group, size, alone = [], 0, []
+
+        def flush(own: list[int], encode) -> None:
+            for k, v in zip(own, encode([texts[j] for j in own]), strict=True):
+                out[k] = v
+
+        for i, t in enumerate(texts):
+            if _one_word(t) is None if spaced else MARK in t:
+                alone.append(i)
+                continue
+            group.append(i)
+            size += len(t)
+            if size >= JOINED:
+                flush(group, self._together)
+                group, size = [], 0
+        if group:
+            flush(group, self._together)
+        if alone:
+            flush(alone, self._each)
         return out
 
-    def _from_words(self, chunks: list[str]) -> list[bytes]:
-        if self.kind == "bytes":
-            parts = [pattern_matches(c) if _latin(c) else [c] for c in map(chunk_of, chunks)]
-        else:
-            parts = [[c] if c.isalpha() else _word_parts(c.lower()) if c.isascii() and c.isprintable() else [c] for c in chunks]
-        return [v[0] if len(v) == 1 else b"".join(v) for v in self.words(parts)]
-
-    def _cut(self, text: str) -> list[str]:
-        if self.kind == "bytes":
-            return cut(text)
-        if _latin(text):
-            text = text.lower()
-        for c in "\n\t\r":
-            text = text.replace(c, " ")
-        return [x for x in text.split(" ") if x]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "none":
-            return self._library(texts)
-        return [b"".join(v) for v in self.chunks([self._cut(t) for t in texts])]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.kind != "none":
+            return self.coder(texts)
+        got = self._each(texts.to_pylist())
+        return np.frombuffer(b"".join(got), "<u4"), np.array([len(x) >> 2 for x in got], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -112,13 +112,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_turns(texts: list[str], step: Callable[[list[str]], list], size: int = 1 << 16) -> list:
-    """``step`` over runs of texts of about ``size`` characters."""
-    out, run, n = [], [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t)
-        if n >= size:
-            out += step(run)
-            run, n = [], 0
-    return out + (step(run) if run else [])
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts with an end id behind each text."""
+    return np.insert(ids, np.cumsum(sizes), np.uint32(end_id)).astype("<u4", copy=False), sizes + 1
