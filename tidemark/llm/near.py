@@ -1,15 +1,19 @@
-"""Near-dedup of the corpus by the general rule: five-word shingles, Jaccard similarity of 0.8 or more.
+"""Near-dedup of the corpus: SimHash proposes, exact shingle sets decide.
 
-Candidates agree in one of ``BANDS`` keys, each a hash of ``ROWS`` minima of hashed shingles. Two texts of
-similarity s share a key with the probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8 and more above. Every
-candidate is verified by the exact similarity of the shingle sets, and a component is what links connect.
+The general rule holds: texts are near copies if the sets of their five-word shingles have a Jaccard
+similarity of 0.8 or more; a component is what such links connect. Candidates come from the SimHash
+operator's generalised pigeonhole search over fingerprints of a text's distinct words, at ``DISTANCE`` bits.
+One changed word breaks five shingles but moves one word's vote, so that these fingerprints find what those
+of five-word shingles would need twice the distance for. README has the measured recall.
 
-No pairs are emitted. The texts of a key are compared in one task, which skips those already connected and
-emits a star for each of its components; keys with the same texts are compared once. Only texts that share
-a key are read again for their shingles.
+No pairs are emitted. The texts of a probe's key are compared within one task, up to ``GROUP`` of them: first
+their fingerprints, which part most, then the shingle sets of those that are left, where texts already
+connected are not compared again. A key that more texts share is hot: it is split by further bits until its
+parts are small. Which keys are hot reaches the tasks as a bit table of fixed size; a false positive only
+splits a key that need not be.
 
 Defined results: words are as in op6; texts with the same shingles are copies, so are null and empty ones;
-a text of fewer words than a shingle is one shingle; null ids are as in op6.
+a text of fewer words than a shingle is one shingle; a component goes by its smallest doc_id, null ones last.
 """
 
 from __future__ import annotations
@@ -21,42 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
-from .simhash import connected
+from .common import bounded_batches, map_texts, written
+from .simhash import BITS, SEED, components_within, connected, fingerprint, mask_of, plan, shingle_hashes, signed
+from .substrings import bit_table, in_table
 
-SHINGLE, SIMILAR, SEED = 5, 0.8, 42
-BANDS, ROWS = 24, 5
-#: Shingles whose minima are taken at once.
-BLOCK = 4096
+SHINGLE, SIMILAR, DISTANCE = 5, 0.8, 7
+#: Texts of one key that one task compares with each other, at most; 8 bytes each, and some 4 KB of shingles
+#: of those that connect.
+GROUP = 1 << 15
+#: Bits of the table of hot keys, and open bits below which a hot key is not split further.
+HOT_BITS, FEW_BITS = 20, 12
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode().lower().split()
-    if len(words) <= shingle:
-        parts = [b" ".join(words)] if words else []
-    else:
-        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), np.uint64))
-
-
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
-    own = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
-    return own[0], own[1] | np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One key for each band; none without shingles."""
-    from xxhash import xxh64_intdigest
-
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        np.minimum(least, ((hashes[at : at + BLOCK] ^ mixers[0]) * mixers[1]).min(axis=1), out=least)
-    return np.array([xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    return np.unique(shingle_hashes(words, shingle))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -89,60 +72,109 @@ def components(sets: list[np.ndarray]) -> list[int]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, Spark's hash of the text, digest of its shingles and band keys."""
+    """doc_id, Spark's hash of the text, digest of its shingles and fingerprint of its distinct words."""
 
     def make():
         from xxhash import xxh64_intdigest
 
-        mixers = _mixers()
-
-        def one(text: str) -> tuple:
-            own = shingles(text)
-            return xxh64_intdigest(text.encode(), 42), xxh64_intdigest(own.tobytes(), SEED), band_keys(own, mixers)
+        def one(text: str) -> tuple[int, int, int]:
+            raw = text.encode()
+            words = raw.lower().split()
+            return xxh64_intdigest(raw, 42), xxh64_intdigest(shingles(words).tobytes(), SEED), fingerprint(shingle_hashes(list(dict.fromkeys(words)), 1))
 
         def step(ids: list, texts: list[str]) -> dict:
             known = {t: one(t) for t in dict.fromkeys(texts)}
-            h, digest = (np.array([known[t][k] for t in texts], np.uint64).view(np.int64) for k in (0, 1))
-            return {"doc_id": ids, "h": h, "digest": digest, "keys": [known[t][2] for t in texts]}
+            return {"doc_id": ids} | {c: np.array([known[t][k] for t in texts], np.uint64).view(np.int64) for k, c in enumerate(("h", "digest", "fp"))}
 
         return step
 
-    return map_texts(docs, make, "doc_id long, h long, digest long, keys array<long>")
+    return map_texts(docs, make, "doc_id long, h long, digest long, fp long")
+
+
+def _keyed(classes: DataFrame, masks: list[int], base: int = 0) -> DataFrame:
+    """slot, key, fp and digest of each probe."""
+    probes = F.explode(F.array(*(F.struct(F.lit(base + k).alias("slot"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks))))
+    return classes.select("fp", "digest", probes.alias("x")).select("x.slot", "x.key", "fp", "digest")
 
 
-def sharing(classes: DataFrame) -> DataFrame:
-    """(gid, digest): the texts of each key that more than one has; keys with the same texts once."""
+def _sharing(rows: DataFrame, distance: int) -> DataFrame:
+    """(gid, digest): the texts of each key whose fingerprints connect, two at least; gid is a hash of them,
+    so that keys with the same texts give the same rows."""
     schema = pa.schema([("gid", pa.int64()), ("digest", pa.int64())])
 
-    def groups(keys: np.ndarray, digests: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    def of_key(fps: np.ndarray, digests: np.ndarray) -> Iterator[np.ndarray]:
+        if len(fps) == 2:
+            if int(fps[0] ^ fps[1]).bit_count() <= distance:
+                yield np.sort(digests)
+            return
+        root = components_within(fps, distance)
+        for r in np.unique(root[root != np.arange(len(fps))]).tolist():
+            yield np.sort(digests[root == r])
+
+    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
         from xxhash import xxh64_intdigest
 
-        sizes = np.diff(starts)
-        gids = np.array([xxh64_intdigest(digests[s : s + n].tobytes()) for s, n in zip(starts[:-1].tolist(), sizes.tolist(), strict=True) if n > 1], np.uint64).view(np.int64)
-        many = np.repeat(sizes > 1, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(gids, sizes[sizes > 1])), pa.array(digests[many])], schema=schema)
+        gids = np.array([xxh64_intdigest(d.tobytes()) for d in found], np.uint64).view(np.int64)
+        sizes = [len(d) for d in found]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(gids, sizes)), pa.array(np.concatenate(found))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        rest, found = None, []
         for x in batches:
-            keys, digests = (x.column(c).to_numpy(zero_copy_only=False) for c in ("key", "digest"))
-            if not len(keys):
-                continue
-            if held and held[-1][0][-1] == keys[0] == keys[-1]:
-                held.append((keys, digests))
-                continue
-            keys, digests = (np.concatenate([*c, y]) for c, y in zip(list(zip(*held, strict=True)) or [(), ()], (keys, digests), strict=True))
-            new = np.flatnonzero(np.diff(keys)) + 1
-            cut = int(new[-1]) if len(new) else 0
-            if cut:
-                yield groups(keys[:cut], digests[:cut], np.concatenate([[0], new]))
-            held = [(keys[cut:], digests[cut:])]
-        if held:
-            keys, digests = (np.concatenate(c) for c in zip(*held, strict=True))
-            yield groups(keys, digests, np.array([0, len(keys)]))
-
-    rows = classes.select("digest", F.explode("keys").alias("key"))
-    return rows.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(run, "gid long, digest long").distinct()
+            cols = [x.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "key", "fp", "digest")]
+            cols = cols if rest is None else [np.concatenate(y) for y in zip(rest, cols, strict=True)]
+            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+            starts = np.concatenate([[0], new])
+            for a, b in zip(starts[:-1].tolist(), new.tolist(), strict=True):
+                if b - a > 1:
+                    found += of_key(cols[2][a:b].view(np.uint64), cols[3][a:b])
+            rest = [c[starts[-1] :] for c in cols]
+            if len(found) > 500:
+                yield batch(found)
+                found = []
+        if rest is not None and len(rest[0]) > 1:
+            found += of_key(rest[2].view(np.uint64), rest[3])
+        if found:
+            yield batch(found)
+
+    return rows.repartition("slot", "key").sortWithinPartitions("slot", "key", "fp", "digest").mapInArrow(run, "gid long, digest long")
+
+
+def candidates(classes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """(gid, digest): groups of texts whose fingerprints connect within a key. Every two texts whose
+    fingerprints differ in ``distance`` bits at most are in one of them."""
+    spark = classes.sparkSession
+    bounded_batches(spark)
+    masks, rows, out = [agree for agree, _ in plan(classes, distance)], None, None
+    rows = _keyed(classes, masks)
+    while True:
+        counts = rows.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > group)
+        hot = written(counts.select("slot", F.xxhash64("slot", "key").alias("key")), "hot-keys")
+        slots = [r["slot"] for r in hot.select("slot").distinct().collect()]
+        few = [s for s in slots if BITS - masks[s].bit_count() <= FEW_BITS]
+        if len(few) == len(slots):
+            found = _sharing(rows, distance)
+            return (found if out is None else out.unionByName(found)).distinct()
+        table = spark.sparkContext.broadcast(bit_table(hot.where(~F.col("slot").isin(few)) if few else hot, HOT_BITS))
+
+        @F.pandas_udf("boolean")
+        def is_hot(keys):
+            import pandas as pd
+
+            return pd.Series(in_table(table.value, keys.to_numpy().view(np.uint64)))
+
+        marked = written(rows.withColumn("hot", is_hot.asNondeterministic()(F.xxhash64("slot", "key"))), "simhash-keys")
+        found = _sharing(marked.where("not hot"), distance)
+        out = found if out is None else out.unionByName(found)
+        nxt, parts = [], None
+        for s in sorted(set(slots) - set(few)):
+            open_ = [b for b in range(BITS) if not masks[s] >> b & 1]
+            own = [masks[s] | mask_of(open_[i :: distance + 1]) for i in range(distance + 1)]
+            more = _keyed(marked.where(F.col("hot") & (F.col("slot") == s)), own, len(nxt))
+            parts, nxt = more if parts is None else parts.unionByName(more), nxt + own
+        others = marked.where(F.col("hot") & ~F.col("slot").isin(slots))
+        out = out.unionByName(_sharing(others, distance))
+        masks, rows = nxt, written(parts.distinct(), "simhash-split")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -150,7 +182,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def make():
         def step(ids: list, own: list[str]) -> dict:
-            return {"digest": ids, "own": [shingles(t).tobytes() for t in own]}
+            return {"digest": ids, "own": [shingles(t.encode().lower().split()).tobytes() for t in own]}
 
         return step
 
@@ -181,29 +213,35 @@ def verified(groups: DataFrame) -> DataFrame:
     return groups.select("gid", "digest", "own").repartition("gid").sortWithinPartitions("gid", "digest").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that links reach."""
+def near_groups(docs: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """doc_id, h, digest, component_id (the smallest doc_id that links reach) and first: the digest whose
+    document that is. h is XXH64 of the text, digest that of its shingles."""
     found = written(prints(docs), "near-prints")
-    classes = written(found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), F.first("keys").alias("keys")), "near-classes")
-    groups = written(sharing(classes), "near-keys")
+    classes = written(found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), F.first("fp").alias("fp")), "near-classes")
+    groups = written(candidates(classes, distance, group), "near-keys")
     again = classes.join(groups.select("digest").distinct(), "digest").select("h", "digest")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(again, "h").dropDuplicates(["h"]).select("digest", "text")
     roots = connected(verified(groups.join(shingle_sets(texts), "digest")))
     rooted = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = written(rooted.join(named, "root").select("digest", "component_id"), "near-components")
-    return found.select("doc_id", "digest").join(of_class, "digest").select("doc_id", "component_id")
+    least = F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("digest"))).alias("m")
+    named = rooted.groupBy("root").agg(least).select("root", F.col("m.first").alias("component_id"), F.col("m.digest").alias("first_digest"))
+    of_class = written(rooted.join(named, "root").select("digest", "component_id", "first_digest"), "near-components")
+    return found.select("doc_id", "h", "digest").join(of_class, "digest").select("doc_id", "h", "digest", "component_id", "first_digest")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, with their own columns.
+    """One row of each component, with its own columns: of the rows with the component's smallest doc_id
+    and that document's shingles, the one whose text has the least hash.
 
-    Rows that share a doc_id are copies of one document and a single one of them stays; rows without a
-    doc_id all stay, as nothing names them.
+    Each row is judged by its own text. Rows that share a doc_id but not their texts are different
+    documents; each stays unless its own component has a smaller one, or the same doc_id and another text
+    that is a near copy. Components without any doc_id keep one row too.
     """
     groups = near_groups(docs)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("h"))
-    chosen = packed.join(keep, packed["id"] == keep["kept_id"], "left_semi").groupBy("id").agg(F.min_by("row", "h").alias("row"))
-    return chosen.select("row.*").unionByName(packed.where("id is null").select("row.*"))
+    best = groups.where((F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = best.groupBy("digest").agg(F.min("h").alias("h"), F.min("component_id").alias("id")).select("h", F.xxhash64("id").alias("r"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("h"), F.xxhash64(docs["doc_id"].cast("long")).alias("r"))
+    chosen = packed.join(best, ["h", "r"], "left_semi")
+    return chosen.groupBy("h", "r").agg(F.first("row").alias("row")).select("row.*")

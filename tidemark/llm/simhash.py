@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ SHINGLE, DISTANCE, SEED, BITS = 3, 2, 42, 64
 GROUP = 2048
 #: Open bits below which a split key is starred by aggregation.
 FEW_BITS = 12
-PARTITIONS = (2, 3, 4)
+#: Numbers of partitions that the plan chooses from, for a small and for a larger distance.
+PARTITIONS, WIDE_PARTITIONS, WIDE = (2, 3, 4), (2, 3, 4, 5, 6), 3
 #: Comparisons that cost about as much as one key row, which is shuffled and sorted.
 ROW_COST = 200
 
@@ -49,15 +51,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def text_fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words than a shingle are one shingle."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()
     if len(words) <= shingle:
         parts = [b" ".join(words)] if words else []
     else:
-        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    return fingerprint(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), np.uint64))
+        parts = words if shingle == 1 else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter((xxh64_intdigest(p, SEED) for p in parts), np.uint64)
+
+
+def text_fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return fingerprint(shingle_hashes(text.encode().lower().split(), shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +147,7 @@ def plan(classes: DataFrame, distance: int = DISTANCE) -> list[tuple[int, int]]:
     n = max(counts[-1], 1)
     p = counts[:-1].reshape(BITS, BITS).diagonal() / n
     differ = np.clip(2 * p * (1 - p), 0, 0.5)
-    groups = {m: correlated_groups(counts, m) for m in PARTITIONS}
+    groups = {m: correlated_groups(counts, m) for m in (WIDE_PARTITIONS if distance > WIDE else PARTITIONS)}
     flat = [(m, i, g) for m, gs in groups.items() for i, g in enumerate(gs)]
     keys = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _masked(mask_of(g)).alias("v")) for k, (_, _, g) in enumerate(flat))))
     same = classes.select(keys.alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect()
@@ -152,7 +158,7 @@ def plan(classes: DataFrame, distance: int = DISTANCE) -> list[tuple[int, int]]:
         for i, g in enumerate(gs):
             row, grown = [0.0], pairs.get((m, i), 0.0) + 1
             for t in range(distance + 1):
-                probes = sum(1 for _ in combinations(g, t))
+                probes = comb(len(g), t)
                 row.append(ROW_COST * n * probes + grown)
                 grown *= 1 + sum(differ[b] / (1 - differ[b]) for b in g) / (t + 1)
             costs.append(row)
