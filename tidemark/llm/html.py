@@ -1,14 +1,18 @@
 """Main text of web pages as the maximum-scoring run of tokens.
 
 A page is a run of words and tags. Words score positive and tags negative, with weights that labelled
-pages teach: a page whose markup names its article says which words and tags stand inside. One linear
-scan finds the run with the largest sum, and its blocks are the text.
+pages teach: a page whose markup names its article says which words and tags stand inside. Counts of words
+and tags, inside and outside, are summed over all labelled pages, one row for each known tag, so that the
+weights do not depend on how pages are dealt. One linear scan finds the run with the largest sum, and its
+blocks are the text.
 
-Elements that are never article text are taken out before the scan, by name or by a word of their class
-or id: scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Elements that are never article text are taken out before the scan, by their name, their role or one whole
+name of their class or id: scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and
+comments. Where that would take out every article of a page, elements that hold one stay.
 
 Defined results: a null or empty page has an empty text; an element that is never closed ends where a
-heading, a paragraph or the article begins; a page without words has an empty text.
+heading, a paragraph or the article begins; a page without words has an empty text; of runs with the same
+sum the first one counts.
 """
 
 from __future__ import annotations
@@ -16,30 +20,35 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices
 
-#: Labelled pages that the weights come from, at most.
-TRAINING_PAGES = 2000
 #: Elements whose end breaks a block, elements without text of the article, and elements
 #: that hold raw text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NEVER = frozenset("head nav footer aside form button select option textarea input label template iframe object svg canvas noscript dialog menu".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebars?|side|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|comments?|respond|replies|disqus|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|copyright|header|masthead|topbar|toolbar|tags|byline-share|skip|search)(?:$|[\s_-])", re.I)
+#: Tags that are counted by name; others, as of custom elements, are counted together.
+KNOWN = BLOCKS | NEVER | RAW | VOID | frozenset("a abbr acronym audio b bdi bdo big blink cite code data datalist del dfn em figure font i ins kbd label main map mark marquee meter nobr output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var video".split())
+#: Class and id names of what is no article text, and what may stand before or behind them.
+UNWANTED = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets related recommended recommendations share sharing social comment comments respond replies disqus menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer copyright header masthead topbar toolbar tags skip search".split())
+BEFORE = "site|page|main|global|top|bottom|left|right|post|article|entry|primary|secondary|user|reader|google|cookie|social|related"
+BEHIND = "container|wrapper|wrap|box|area|section|block|list|links?|left|right|top|bottom|inner|content|slot|unit|form|bar|menu|banner|notice|buttons?|posts|articles|stories|widget|thread|\\d+"
+NAMED = re.compile(rf"(?:(?:{BEFORE})[-_]+)*([a-z]+)(?:[-_]+(?:{BEHIND}))*")
+CUSTOM = "custom"
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 ARTICLE = frozenset(("article", "main"))
 RESUME = frozenset("article main h1 h2 p".split())
 
 _tag = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_attribute = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Characters within which one expression matches a whole tag; longer tags are scanned in steps.
 TAG_CHARS = 16_384
 _tag_name = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
@@ -124,6 +133,11 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def named_unwanted(value: str) -> bool:
+    """Whether one of the names in a class or id is that of something unwanted."""
+    return any((m := NAMED.fullmatch(n)) is not None and m[1] in UNWANTED for n in value.split())
+
+
 def unwanted(name: str, attributes: str) -> bool:
     if name in RAW or name in NEVER:
         return True
@@ -131,7 +145,7 @@ def unwanted(name: str, attributes: str) -> bool:
         return False
     for m in _attribute.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key in ("class", "id") and NAMED.search(value) and name not in ARTICLE:
+        if key in ("class", "id") and named_unwanted(value):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -140,12 +154,37 @@ def unwanted(name: str, attributes: str) -> bool:
     return False
 
 
+def _holders(all_: list[tuple[str, str, str]]) -> set[int]:
+    """Places of opening tags whose element is closed and holds an article, or is one itself."""
+    out: set[int] = set()
+    open_: dict[str, list[int]] = {}
+    articles = [i for i, (kind, name, _) in enumerate(all_) if kind == "open" and name in ARTICLE]
+    for i, (kind, name, _) in enumerate(all_):
+        if kind == "open":
+            open_.setdefault(name, []).append(i)
+        elif kind == "close" and open_.get(name):
+            start = open_[name].pop()
+            at = bisect_left(articles, start)
+            if at < len(articles) and articles[at] < i:
+                out.add(start)
+    return out
+
+
 def wanted(page: str) -> list[tuple[str, str, str]]:
-    """The tokens outside unwanted elements."""
+    """The tokens outside unwanted elements. A page whose articles all stand in such elements keeps the
+    elements that hold them."""
     all_ = tokens(page)
+    out = _outside(all_, frozenset())
+    is_article = lambda x: x[0] == "open" and x[1] in ARTICLE
+    if not any(map(is_article, out)) and any(map(is_article, all_)):
+        return _outside(all_, _holders(all_))
+    return out
+
+
+def _outside(all_: list[tuple[str, str, str]], stay: set[int] | frozenset[int]) -> list[tuple[str, str, str]]:
     closes = Counter(name for kind, name, _ in all_ if kind == "close")
     out, skip, depth, inside = [], "", 0, 0
-    for kind, name, rest in all_:
+    for i, (kind, name, rest) in enumerate(all_):
         if kind == "close":
             closes[name] -= 1
         if skip:
@@ -159,11 +198,11 @@ def wanted(page: str) -> list[tuple[str, str, str]]:
                 skip = ""
             if skip or kind == "close":
                 continue
-        if name in ARTICLE:
-            inside += 1 if kind == "open" else -1
-        if kind == "open" and name not in VOID and (unwanted(name, rest) or name == "header" and inside <= 0):
+        if kind == "open" and i not in stay and name not in VOID and (unwanted(name, rest) or name == "header" and inside <= 0):
             skip, depth = name, 1
             continue
+        if name in ARTICLE:
+            inside += 1 if kind == "open" else -1
         out.append((kind, name, rest))
     return out
 
@@ -181,7 +220,7 @@ def counts(page: str) -> Counter:
         elif name in ARTICLE:
             inside += 1 if kind == "open" else -1
         else:
-            seen["tag", name, inside > 0] += 1
+            seen["tag", name if name in KNOWN else CUSTOM, inside > 0] += 1
         if name in BLOCKS and name not in ARTICLE:
             box = name if kind == "open" else ""
     return seen
@@ -203,6 +242,18 @@ def train(pages: list[str]) -> dict[str, dict[str, float]]:
     return weights_of(total)
 
 
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """First and last place of the run with the largest positive sum, the first of several; (0, -1) if none."""
+    best, first, last, total, begin = 0.0, 0, -1, 0.0, 0
+    for i, s in enumerate(scores):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += s
+        if total > best:
+            best, first, last = total, begin, i
+    return first, last
+
+
 def extract(page: str | None, weights: dict[str, dict[str, float]]) -> str:
     """The blocks of the best run, two line feeds apart."""
     if not page:
@@ -227,36 +278,34 @@ def extract(page: str | None, weights: dict[str, dict[str, float]]) -> str:
             if name not in ARTICLE:
                 box = name if kind == "open" else ""
         places.append(len(blocks) - 1)
-        scores.append(-0.05 if name in ARTICLE else tag.get(name, -0.5))
-    best, first, last, total, begin = 0.0, 0, -1, 0.0, 0
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, begin = 0.0, i
-        total += s
-        if total > best:
-            best, first, last = total, begin, i
-    if last < 0:
+        scores.append(-0.05 if name in ARTICLE else tag.get(name if name in KNOWN else CUSTOM, -0.5))
+    first, last = best_run(scores)
+    if last < first:
         return ""
     chosen = blocks[places[first] : places[last] + 1]
     return "\n\n".join(t for b in chosen if (t := " ".join("".join(b).split())))
 
 
-def main_text(pages: DataFrame, training_pages: int = TRAINING_PAGES, html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    bounded_batches(pages.sparkSession)
-    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)\\b")).select(html_col).limit(training_pages)
+def learned(pages: DataFrame, html_col: str = "html") -> dict[str, dict[str, float]]:
+    """Weights from all pages whose markup names an article; a task hands on one row a tag."""
+    schema = pa.schema([("what", pa.string()), ("name", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])
 
-    def learn(frames):
+    def count(batches):
         total: Counter = Counter()
-        for f in frames:
-            for page in f[html_col]:
+        for b in slices(batches, "html"):
+            for page in b.column("html").to_pylist():
                 total.update(counts(page))
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "name", "inside", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], schema.types[i]) for i in range(3)] + [pa.array(list(total.values()), pa.int64())], schema=schema)
 
-    seen: Counter = Counter()
-    for r in labelled.mapInPandas(learn, "what string, name string, inside boolean, n long").groupBy("what", "name", "inside").agg(F.sum("n").alias("n")).collect():
-        seen[r["what"], r["name"], r["inside"]] = r["n"]
-    weights = weights_of(seen)
+    labelled = pages.select(pages[html_col].cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)\\b"))
+    rows = labelled.mapInArrow(count, "what string, name string, inside boolean, n long").groupBy("what", "name", "inside").agg(F.sum("n").alias("n"))
+    return weights_of(Counter({(r["what"], r["name"], r["inside"]): r["n"] for r in rows.collect()}))
+
+
+def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
+    bounded_batches(pages.sparkSession)
+    weights = learned(pages, html_col)
     names = ["page_id", "url", "text", "n_chars"]
 
     def run(batches):
