@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import MAX_REPEATED_PERCENT, MIN_WORDS
+from .quality import MAX_REPEATED_PERCENT, MIN_WORDS, UNSPACED
 
 #: White space that parts words, as a character class.
 GAP = r"[\x20\x09-\x0D]+"
@@ -36,6 +36,8 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+UNSPACED_CLASS = "".join(rf"\p{{{s}}}" for s in UNSPACED)
+
 OP9 = f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS x FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
@@ -47,8 +49,8 @@ base AS (
   FROM w LEFT JOIN repeats USING (doc_id)
 ), judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
-    OR 2 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) < word_chars OR (n_words >= 50 AND 20 * len(list_distinct(words)) < n_words)) AS kept
+  NOT (base_failed OR (word_chars > 20 * n_words AND 2 * length(regexp_replace(text, '[^{UNSPACED_CLASS}]', '', 'g')) < word_chars) OR word_chars < 2 * n_words OR 10 * n_symbols > n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
+    OR 2 * length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]', '', 'g')) < word_chars OR (n_words >= 50 AND 20 * len(list_distinct(words)) < n_words)) AS kept
 FROM judged
 """
 
