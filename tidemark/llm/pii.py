@@ -1,11 +1,11 @@
 """Personal data by weak supervision.
 
 Four base kinds are found by fixed patterns and always stay. Looser patterns propose more spans. On every
-candidate, base ones included, labelers vote for, against or not at all: the strict pattern, a checksum,
-a gazetteer of names that go with a kind, the words before the span, and its shape. Expectation
-maximisation over the counts of vote patterns of the whole corpus estimates each labeler's reliability
-for each kind without labels; its posteriors then train a logistic classifier on votes and shape, which
-decides about the candidates beyond the base.
+candidate, base ones included, labelers vote for, against or not at all: the strict pattern, a checksum, a
+gazetteer (domains, card issuers, calling codes, prefixes of keys), the words around the span, and what
+stands at its edges. Expectation maximisation over the counts of vote patterns of the whole corpus
+estimates each labeler's reliability for each kind without labels; its posteriors then train a logistic
+classifier on votes, length and share of digits, which decides about the candidates beyond the base.
 
 Counts of vote patterns are a table of fixed size, whatever the corpus. Detection runs once to count and
 once to apply; no text is shuffled.
@@ -31,16 +31,28 @@ from .common import map_texts
 KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL, IP, CARD, PHONE, SECRET = range(5)
 VOTES = ("strict", "checksum", "gazetteer", "context", "shape")
-#: Endings, and words that go with a kind or speak against personal data.
-ENDINGS = frozenset("com org net edu gov io info biz co uk de fr es it nl eu us ca ch at be".split())
-NAMES = {
-    EMAIL: frozenset("mail email e-mail contact contacto kontakt courriel correo write reach".split()),
-    IP: frozenset("ip host server address addr client login from".split()),
-    CARD: frozenset("card visa mastercard amex credit debit karte carte tarjeta payment".split()),
-    PHONE: frozenset("phone tel telephone call mobile cell fax telefon téléphone teléfono".split()),
-    SECRET: frozenset("token key secret password passwd apikey api_key bearer auth credential".split()),
+#: Top-level domains, prefixes of card issuers, calling codes of countries and prefixes of keys.
+DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro coop museum aero jobs mobi travel tel asia cat xxx post app dev io ai co me tv cc ws "
+    "ac ad ae af ag al am ao ar at au az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cd cf cg ch ci ck cl cm cn cr cu cv cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gh gi gl gm gn gp gq gr gt gu gy hk hn hr ht hu id ie il im in iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mr mt mu mv mw mx my mz "
+    "na nc ne ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg si sk sl sm sn so sr st sv sy sz "
+    "td tg th tj tk tl tm tn to tr tt tw tz ua ug uk us uy uz va vc ve vg vi vn vu ye za zm zw example test".split()
+)
+ISSUERS = ("4", "34", "37", "35", "36", "38", "50", "51", "52", "53", "54", "55", "56", "57", "58", "6011", "62", "63", "64", "65", "67", "2221", "23", "24", "25", "26", "270")
+CALLING = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "94", "98", "212", "213", "234", "254", "351", "352", "353", "358", "359", "370", "371", "372", "380", "385", "386", "420", "421", "852", "880", "886", "966", "971", "972")
+KEYS = ("sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "AKIA", "ASIA", "AIza", "ya29", "eyJ", "npm_", "pypi-", "hf_", "SG_", "key-", "tok_")
+#: Words that go with a kind, before or behind it, and words that speak against personal data.
+WORDS = {
+    EMAIL: frozenset("mail email e-mail contact contacto kontakt courriel correo schreiben escribe écrire address adresse dirección".split()),
+    IP: frozenset("ip ipv4 host server address addr client login proxy gateway subnet ping dns adresse dirección serveur servidor".split()),
+    CARD: frozenset("card visa mastercard amex credit debit karte carte tarjeta payment pay kreditkarte paiement pago crédito cvv".split()),
+    PHONE: frozenset("phone tel telephone call mobile cell fax telefon téléphone teléfono handy appelez llame anrufen whatsapp sms".split()),
+    SECRET: frozenset("token key secret password passwd pwd apikey api_key access_key private bearer auth authorization credential schlüssel clé clave contraseña".split()),
 }
-AGAINST = frozenset("version release section isbn issn doi page figure table license license, chapter §".split())
+AGAINST = frozenset("version release section isbn issn doi page figure table license chapter § sha sha1 sha256 md5 hash commit checksum uuid".split())
+SHARES = 3
 
 _email_tail = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _email_head = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -130,49 +142,53 @@ def _proposals(text: str) -> list[tuple[int, int, int]]:
 
 def _ballot(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int, ...]:
     """Votes (1, 0 or -1) of the labelers on a span."""
-    span = text[start:end]
-    digits = _digits(span)
-    before = re.split(r"[^\w@§-]+", text[max(0, start - 40) : start].lower())[-5:]
-    names = NAMES[kind]
+    span, digits = text[start:end], _digits(text[start:end])
+    near = re.split(r"[^\w@§-]+", text[max(0, start - 40) : start].lower())[-5:]
+    after = re.split(r"[^\w@§-]+", text[end : end + 24].lower())[:3]
     if kind == EMAIL:
-        check = 1 if re.split(r"[.\])]\s?", span)[-1].lower() in ENDINGS else -1
+        ending = re.split(r"[.\])]\s?", span)[-1].lower()
+        check, listed = (1 if ending.isalpha() and len(ending) >= 2 else -1), ending in DOMAINS
     elif kind == IP:
-        check = 1 if all(int(p[-6:]) <= 255 and (p == "0" or p[0] != "0") for p in span.split(".")) else -1
+        octets = span.split(".")
+        check, listed = (1 if all(len(p) <= 3 and int(p) <= 255 and (p == "0" or p[0] != "0") for p in octets) else -1), octets[0] not in ("0", "1", "2", "3")
     elif kind == CARD:
-        check = 1 if luhn(digits) else -1
+        check, listed = (1 if luhn(digits) else -1), digits.startswith(ISSUERS)
     elif kind == PHONE:
-        check = 1 if 9 <= len(digits) <= 15 else -1
+        check, listed = (1 if 9 <= len(digits) <= 15 else -1), digits.startswith(CALLING) if "+" in span else None
     else:
-        check = 1 if len(set(span)) >= 10 else -1
-    near = 1 if names & set(before) else 0
-    context = -1 if AGAINST & set(before) else 1 if near and names & set(before[-2:]) else 0
+        check, listed = (1 if len(set(span)) >= 10 else -1), True if span.startswith(KEYS) else None
+    known = WORDS[kind]
+    context = -1 if AGAINST & set(near) else 1 if known & set(near) or known & set(after) else 0
     tight = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
     shape = (1 if tight else -1) if kind != PHONE else (1 if tight and ("(" in span or span.count("-") + span.count(" ") <= 4) else -1)
-    return (1 if base else 0 if kind == SECRET else -1, check, near, context, shape)
+    return (1 if base else 0 if kind == SECRET else -1, check, 0 if listed is None else 1 if listed else -1, context, shape)
 
 
-def pattern_of(kind: int, votes: tuple[int, ...], size: int, base: bool) -> int:
-    """One number for kind, votes, length class and whether the span is a base one."""
+def pattern_of(kind: int, votes: tuple[int, ...], span: str, base: bool) -> int:
+    """One number for kind, votes, length class, share of digits and whether the span is a base one."""
     code = kind
     for v in votes:
         code = code * 3 + v + 1
-    return (code * 4 + min(3, size // 12)) * 2 + base
+    share = min(SHARES - 1, SHARES * len(_digits(span)) // len(span))
+    return ((code * SHARES + share) * 4 + min(3, len(span) // 12)) * 2 + base
 
 
-def parts_of(pattern: int) -> tuple[int, tuple[int, ...], int, bool]:
+def parts_of(pattern: int) -> tuple[int, tuple[int, ...], int, int, bool]:
+    """Kind, votes, length class, share of digits, base."""
     code, base = divmod(pattern, 2)
     code, size = divmod(code, 4)
+    code, share = divmod(code, SHARES)
     votes = []
     for _ in VOTES:
         code, v = divmod(code, 3)
         votes.append(v - 1)
-    return code, tuple(reversed(votes)), size, bool(base)
+    return code, tuple(reversed(votes)), size, share, bool(base)
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, pattern): base spans, and proposals that overlap none of them nor each other."""
     base = base_spans(text)
-    out = [(s, k, e, pattern_of(k, _ballot(text, s, k, e, True), e - s, True)) for s, k, e in base]
+    out = [(s, k, e, pattern_of(k, _ballot(text, s, k, e, True), text[s:e], True)) for s, k, e in base]
     more = _proposals(text)
     if not more:
         return out
@@ -184,7 +200,7 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
         if s < last or at < len(taken) and taken[at][0] < e:
             continue
         last = e
-        out.append((s, k, e, pattern_of(k, _ballot(text, s, k, e, False), e - s, False)))
+        out.append((s, k, e, pattern_of(k, _ballot(text, s, k, e, False), text[s:e], False)))
     return sorted(out)
 
 
@@ -236,8 +252,8 @@ def accepted(counts: Counter, threshold: float = 0.5) -> tuple[frozenset[int], d
         own = kinds == k
         rates, target[own] = reliabilities(ballots[own], n[own])
         report[KINDS[k]] = rates
-    sizes = np.array([s[2] for s in split])
-    x = np.concatenate([ballots, ballots == 0, np.eye(len(KINDS))[kinds], np.eye(4)[sizes]], axis=1)
+    sizes, shares = (np.array([s[k] for s in split]) for k in (2, 3))
+    x = np.concatenate([ballots, ballots == 0, np.eye(len(KINDS))[kinds], np.eye(4)[sizes], np.eye(SHARES)[shares]], axis=1)
     weight, w = n / n.sum(), np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps of a ridge-penalised logistic fit
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -246,7 +262,7 @@ def accepted(counts: Counter, threshold: float = 0.5) -> tuple[frozenset[int], d
         w -= np.linalg.solve(hess, grad)
     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
     report["weights"] = w
-    return frozenset(q for q, s, v in zip(patterns, split, p, strict=True) if not s[3] and v >= threshold), report
+    return frozenset(q for q, s, v in zip(patterns, split, p, strict=True) if not s[4] and v >= threshold), report
 
 
 def find(docs: DataFrame, take: frozenset[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
