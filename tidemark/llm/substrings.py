@@ -5,9 +5,11 @@ Consecutive windows with one minimiser travel together, as one packed string of
 minimiser's bucket; there the windows are sorted and equal ones are found by their words, exactly.
 
 Most text never travels. A first pass finds the minimisers that occur in two documents; a bit table of
-fixed size (``FILTER_BITS``) tells the second pass which super-k-mers to pack. A false positive, or a table
-that fills up, only packs more. Minimisers with more than ``HOT`` different super-k-mers do not make buckets:
-their windows go each to a bucket of its own words. Equal strings are merged before they are shuffled, with the
+fixed size (``FILTER_BITS``) tells the second pass which super-k-mers to pack. A false positive only packs
+more, and a table that fills up packs all super-k-mers, some three times the text. Minimisers with more than
+``HOT`` different super-k-mers do not make buckets: their windows go each to a bucket of its own words. That
+limit doubles until the table of such minimisers is at most a sixteenth full, so that its false positives
+never send the whole text window by window. Equal strings are merged before they are shuffled, with the
 smallest doc_id, so that a passage in a third of all documents is a few rows of each task.
 
 A word is removed if a window that covers it also starts in a document with a smaller doc_id.
@@ -19,6 +21,7 @@ elsewhere nor loses any; rows that share a doc_id are judged each for itself, ne
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -254,6 +257,8 @@ def repeated(docs: DataFrame, hot: int = HOT, bits: int = FILTER_BITS) -> DataFr
     spark = docs.sparkSession
     seen = written(minimisers(docs).where("first < last"), "minimisers")
     shared = spark.sparkContext.broadcast(bit_table(seen.select(F.col("m").alias("key")), bits))
+    while seen.where(F.col("n") > hot).count() > max(1, 1 << bits >> 4):
+        hot *= 2
     often = spark.sparkContext.broadcast(bit_table(seen.where(F.col("n") > hot).select(F.col("m").alias("key")), bits))
     keyed = super_kmers(docs, shared, often).withColumn("k1", F.xxhash64("packed")).withColumn("k2", F.xxhash64(F.lit(7), "packed"))
     rows = written(keyed, "super-kmers")
@@ -266,14 +271,38 @@ def repeated(docs: DataFrame, hot: int = HOT, bits: int = FILTER_BITS) -> DataFr
     return ranges.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("r")).alias("runs"))
 
 
-def kept_words(words: list[bytes], runs: list[dict]) -> list[bytes]:
-    """Words that no run of windows covers."""
-    edge = np.zeros(len(words) + 1, np.int64)
+def gone_words(n: int, runs: list[dict]) -> np.ndarray:
+    """Which of ``n`` words a run of windows covers."""
+    edge = np.zeros(n + 1, np.int64)
     for r in runs:
         edge[r["s"]] += 1
         edge[r["s"] + r["n"] + WINDOW - 1] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+    return np.cumsum(edge[:-1]) > 0
+
+
+def kept_words(words: list[bytes], runs: list[dict]) -> list[bytes]:
+    """Words that no run of windows covers."""
+    return [w for w, g in zip(words, gone_words(len(words), runs).tolist(), strict=True) if not g]
+
+
+_word = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(text: bytes, runs: list[dict]) -> bytes:
+    """The text without covered words. Each stretch of them goes with the white space behind it, or with
+    that before it at the end of the text; all else stays as it was."""
+    spans = [m.span() for m in _word.finditer(text)]
+    gone = gone_words(len(spans), runs)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+    out, at = [], 0
+    for first, last in zip(edges[::2], edges[1::2], strict=True):
+        if last < len(spans):
+            out.append(text[at : spans[first][0]])
+            at = spans[last][0]
+        else:
+            out.append(text[at : max(at, spans[first - 1][1])] if first else b"")
+            at = spans[-1][1]
+    return b"".join([*out, text[at:] if at < len(text) else b""])
 
 
 def dedup_digests(docs: DataFrame, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
@@ -318,8 +347,9 @@ def dedup_digests(docs: DataFrame, bits: int = FILTER_BITS, hot: int = HOT) -> D
 def remove_repeats(docs: DataFrame, hot: int = HOT, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``docs`` with the words removed that repeat elsewhere, in their own columns.
 
-    A text that loses nothing stays as it is. One that loses words becomes its kept words, a space apart;
-    n_chars, where there is such a column, follows. A text that loses all its words leaves.
+    A text that loses nothing stays as it is. One that loses words keeps the white space and line feeds
+    between the others; n_chars, where there is such a column, follows. A text that loses all its words
+    leaves.
     """
     bounded_batches(docs.sparkSession)
     runs = repeated(docs, hot, bits)
@@ -327,7 +357,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, bits: int = FILTER_BITS) ->
     keyed = packed.withColumn("rid", _row_key_udf()("text"))
     joined = keyed.join(runs, ["doc_id", "rid"], "left")
     cleaned = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), _kept_udf()("text", "runs")))
-    stay = cleaned.where("kept IS NULL OR kept <> ''")
+    stay = cleaned.where("kept IS NULL OR kept RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     new = stay.withColumn("row", F.when(F.col("kept").isNotNull(), F.col("row").withField("text", F.col("kept"))).otherwise(F.col("row")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -350,6 +380,6 @@ def _kept_udf() -> Callable:
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else b" ".join(kept_words(t.encode().split(), r)).decode() for t, r in zip(texts, runs, strict=True)])
+        return pd.Series([None if r is None else without(t.encode(), r).decode() for t, r in zip(texts, runs, strict=True)])
 
     return kept.asNondeterministic()
