@@ -29,6 +29,7 @@ PRIVATE_PES, PRIVATE_STREAM_1 = 0x06, 0xBD
 #: Payload bytes of an access unit, units from one random-access point to the next, 90 kHz ticks a unit.
 UNIT, GROUP, TICKS, FIRST_PTS = 12_288, 8, 3_600, 90_000
 PAD = 192
+UNIT_FIELDS = ("pts", "dts", "random_access", "packet", "offset")
 
 
 def _crc_table() -> list[int]:
@@ -248,6 +249,18 @@ def feature(d: dict) -> str:
     return f"packets={d['packets']} tables={d['pats']}/{d['pmts']} streams={streams} breaks={d['breaks']} lost={d['lost_bytes']} units={len(units)} pts={ends} access={len(points)}:{hashlib.md5(index.encode()).hexdigest()[:12]}"
 
 
+def seek(media: bytes, points: list[tuple], pts: int) -> bytes:
+    """Payload from the last random-access point at or before ``pts`` on, read from its packet alone.
+    ``points`` are rows (pts, dts, random_access, packet, offset) of ``parse_media``; the first point serves
+    earlier times."""
+    known = [p for p in points if p[2] and p[0] is not None]
+    before = [p for p in known if p[0] <= pts] or known[:1]
+    if not before:
+        return b""
+    at = before[-1][3] * PACKET  # the program tables stand in front, at the start of the stream
+    return demux(media[: 2 * PACKET] + media[at:])["payload"]
+
+
 def padded(data: bytes) -> bytes:
     return data + b" " * (max(1, -(-len(data) // PAD)) * PAD - len(data))
 
@@ -266,18 +279,22 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def parse_media(media: DataFrame) -> DataFrame:
-    """Adds what ``demux`` reads from the binary column ``media`` of (doc_id, n_bytes, media)."""
+    """Adds what ``demux`` reads from the binary column ``media`` of (doc_id, n_bytes, media). ``units`` has
+    the timestamps of every access unit, whether it is a random-access point, its packet and the place of
+    its payload."""
     bounded_batches(media.sparkSession)
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, n_access long, n_breaks long"
-    names = [x.split()[0] for x in ddl.split(", ")]
-    types = [pa.string() if x.endswith("string") else pa.int64() for x in ddl.split(", ")]
+    plain = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, n_access long, n_breaks long"
+    unit = pa.struct([("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("packet", pa.int64()), ("offset", pa.int64())])
+    names = [*(x.split()[0] for x in plain.split(", ")), "units"]
+    types = [*(pa.string() if x.endswith("string") else pa.int64() for x in plain.split(", ")), pa.list_(unit)]
+    ddl = f"{plain}, units array<struct<pts:long,dts:long,random_access:boolean,packet:long,offset:long>>"
 
     def row(doc_id, n_bytes, m: bytes | None) -> tuple:
         if m is None:
-            return (doc_id, n_bytes, *[None] * 9)
+            return (doc_id, n_bytes, *[None] * 10)
         d = demux(m)
         p = d["payload"]
-        return (doc_id, n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(d), len(d["units"]), sum(u[2] for u in d["units"]), d["breaks"])
+        return (doc_id, n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(d), len(d["units"]), sum(u[2] for u in d["units"]), d["breaks"], [dict(zip(UNIT_FIELDS, u, strict=True)) for u in d["units"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media"):

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, html, media, packing, pii, quality, simhash, substrings, tokenfile
-from .common import table
+from .common import table, written
 from .oracles import ORACLES
 
 
 def op1_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.parse_media(media.store_media(table(spark, sf_dir, "documents")))
+    return media.parse_media(written(media.store_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.chat_digests(chat.format_chats(turns)).drop("n_tokens", "loss_tokens")
+    return chat.chat_digests(written(chat.format_chats(turns), "chats")).drop("n_tokens", "loss_tokens")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_ts, op2_byte_bpe, op3_token_files, op4_chat_format, op5_substring_dedup, op6_simhash, op7_pii, op8_main_text, op9_quality_rules, op10_best_fit)}
+    first = (op1_media_ts, op2_byte_bpe, op3_token_files, op4_chat_format, op5_substring_dedup)
+    return {f.__name__: f for f in (*first, op6_simhash, op7_pii, op8_main_text, op9_quality_rules, op10_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
