@@ -9,7 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_operators import _removed, _texts
-from tidemark.llm import near, pii, quality, tokens
+from tidemark.llm import near, pii, quality, simhash, substrings, tokens
 from tidemark.llm.common import vocabulary
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +45,22 @@ def _kept(texts):
     return sorted(first.values())
 
 
+def _cut(texts):
+    """Texts without the windows that a document with a smaller id has too; empty ones leave."""
+    first, out = {}, []
+    for i, t in texts:
+        w = WORDS.findall(t)
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(i, first.get(tuple(w[k : k + 50]), i))
+    for (i, t), (kept, w) in zip(texts, _removed(texts), strict=True):
+        runs = [{"s": k, "n": 1} for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i]
+        text = substrings.without(t.encode(), runs).decode() if runs else t
+        assert WORDS.findall(text) == kept
+        if kept or not w:
+            out.append((i, text))
+    return out
+
+
 def _near_copies():
     """Texts, copies with a few changed words at similarities about 0.7 to 0.97, and one large group."""
     r = random.Random(7)
@@ -70,8 +86,19 @@ def test_near_copies_are_caught(spark):
     rows, seen = _near_copies()
     assert sum(0.8 <= s <= 0.95 for s in seen) >= 80 and sum(s < 0.8 for s in seen) >= 20
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
-    assert got == _kept(rows)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    want = set(_kept(rows))
+    assert want <= got  # nothing but near copies goes
+    assert len(got - want) <= 0.05 * (len(rows) - len(want))
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    word = lambda k, n: " ".join(f"u{k}x{i}" for i in range(n))
+    copy = word(99, 80)
+    rows = [(1, copy)] + [(i, t) for i in range(2, 22) for t in (word(i, 60), copy)] + [(30, copy), (None, word(57, 70)), (None, word(58, 70)), (None, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    assert got == Counter([(1, copy)] + [(i, word(i, 60)) for i in range(2, 22)] + [(None, word(57, 70)), (None, word(58, 70))])
 
 
 def test_stage_on_documents(spark):
@@ -80,15 +107,18 @@ def test_stage_on_documents(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == _kept(rows)
 
 
-def test_recall_of_keys_at_the_limit():
-    """Sets at a similarity of just 0.8: nearly all pairs share a key."""
-    r, mixers = np.random.default_rng(1), near._mixers()
-    missed = 0
-    for _ in range(1500):
-        a = r.integers(0, 1 << 64, 90, np.uint64)
-        b = np.append(a[:80], r.integers(0, 1 << 64, 10, np.uint64))
-        missed += not (near.band_keys(a, mixers) == near.band_keys(b, mixers)).any()
-    assert missed <= 2
+def test_probes_find_every_pair_within_the_distance(spark):
+    """All pairs of fingerprints within the distance share a group, against all pairs."""
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))) for f in fps]
+    classes = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "digest long, fp long")
+    for group in (1 << 15, 8):
+        found = {}
+        for r in near.candidates(classes, group=group).collect():
+            found.setdefault(r["gid"], set()).add(r["digest"])
+        pairs = {(a, b) for g in found.values() for a in g for b in g if a < b}
+        assert {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= near.DISTANCE} <= pairs
 
 
 def test_bridges_connect_components():
@@ -99,14 +129,14 @@ def test_bridges_connect_components():
 
 
 def test_pipeline_by_the_general_rule(spark):
-    """As test_pipeline_equals_brute_force, which holds the near-dedup stage against op6's rule."""
+    """Stage by stage in plain Python, with the verdicts and vote patterns of the operators' own parts."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r["doc_id"] for r in quality.judge(docs).where("kept").collect()}
     texts = sorted((i, t) for i, t in _texts(docs) if i in kept)
     first = set(_kept(texts))
     texts = [(i, t) for i, t in texts if i in first]
-    cut = [(i, t if len(k) == len(w) else " ".join(k)) for (i, t), (k, w) in zip(texts, _removed(texts), strict=True) if len(k) == len(w) or k]
+    cut = _cut(texts)
     take = pii.accepted(Counter(c[3] for _, t in cut for c in pii.candidates(t)))[0]
     enc = tokens.load(vocabulary("word_bpe_49k.json"))
     want = Counter()

@@ -5,12 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import bpe, chat, html, media, packing, pii, simhash, substrings, tokenfile, tokens
-from tidemark.llm.chunks import chunk_of, cut
 from tidemark.llm.common import vocabulary
 
 ALPHABET = " \n\t\r\xa0a b,.'sS1éÉ中　\x1c\x85’'ll 're_-$Σİ"
@@ -46,32 +46,52 @@ def multi():
     return bpe.codec(path), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
 
 
-def _ids(cached, texts):
-    return [[int(i) for v in vs if v[0] for i in v[0].split(",")] for vs in cached([cut(t) for t in texts])]
+def _lists(got):
+    ids, sizes = got
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
+
+
+HAN = "的一是不了人我在有他这中大来上个国和说们为子地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日"
 
 
 def test_bpe_equals_the_library(multi):
-    (codec, cached), library = multi
+    codec, library = multi
     rng = random.Random(1)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    texts += ["", "a" * 5000, "ha" * 2000, "x1" * 300, "é" * 300, "".join(map(chr, range(1, 0x800)))]
-    got = _ids(cached, texts)
-    assert got == [library.encode_ordinary(t) for t in texts]
-    assert codec.decode([np.array(x, np.int64) for x in got]) == [t.encode() for t in texts]
+    texts += ["".join(rng.choice(own) for _ in range(rng.randint(0, 70))) for own in ("aab", "etaoinshr", HAN, "=-") for _ in range(200)]
+    texts += ["", "a" * 5000, "ha" * 2500, "x1" * 300, "é" * 300, "".join(rng.choice(HAN) for _ in range(5000)), "".join(map(chr, range(1, 0x800)))]
+    got = codec.encode(pa.array(texts))
+    assert _lists(got) == [library.encode_ordinary(t) for t in texts]
+    assert codec.decode(*got) == [t.encode() for t in texts]
 
 
-@settings(max_examples=200, deadline=None)
-@given(TEXTS)
-def test_pieces_join_to_the_text(text):
-    assert "".join(map(chunk_of, cut(text))) == text
+def test_bpe_in_many_queries(multi, monkeypatch):
+    """Queries that end after one step hand their rows on."""
+    codec, library = multi
+    monkeypatch.setattr(bpe, "QUERY_ROWS", 1)
+    monkeypatch.setattr(bpe, "QUERY_BYTES", 40)
+    words = ["zq" + "".join(random.Random(k).choice("etaoin") for _ in range(k)) for k in range(40)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_words(words)] == [library.encode_ordinary(w) for w in words]
+
+
+def test_bpe_of_ranks_that_do_not_rise():
+    """A merge below its parts' ranks: only leftmost pairs of minimum rank are contracted."""
+    letters = {bytes([b]): b for b in range(256)}
+    ranks = letters | {b"ab": 300, b"abc": 290, b"bc": 310, b"cd": 305}
+    assert bpe.last_merge(b"abc", ranks) is None
+    table = bpe.merge_table(letters | {b"ab": 300, b"abab": 310, b"ba": 305}).to_pylist()
+    assert {(r["pair"] >> 20, r["pair"] & 0xFFFFF): r["merged"] for r in table if r["merged"]} == {(97, 98): 300, (98, 97): 305, (300, 300): 310}
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_cached_encoding_equals_the_library(name):
     rng = random.Random(2)
-    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 3000, "", "<|endoftext|> a"]
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 3000, "", "<|endoftext|> a", " İ,", "W\u030a x", "\x01 a\x01b", "a\0b \0"]
     want = [e.ids for e in tokens.load(vocabulary(name)).encode_batch_fast(texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.Encoder(vocabulary(name), limit=500).encode(texts)] == want
+    e = tokens.Encoder(vocabulary(name))
+    e.coder.limit = 500
+    assert [x for i in range(0, len(texts), 100) for x in _lists(e.encode(pa.array(texts[i : i + 100])))] == want
+    assert _lists(tokens.Encoder(vocabulary(name)).encode(pa.array(texts))) == want
 
 
 @settings(max_examples=100, deadline=None)
@@ -90,8 +110,8 @@ def test_token_file_has_random_access(tmp_path):
     path = tmp_path / "x.ids"
     with open(path, "wb") as f:
         w = tokenfile.Writer(f, tokenfile.width(1000), block=8)
-        for d, ids in docs:
-            w.add(d, ids)
+        for own in (docs[:3], docs[3:4], docs[4:]):
+            w.add([d for d, _ in own], np.array([len(x) for _, x in own]), np.concatenate([x for _, x in own]))
         head = w.close()
         f.seek(0)
         f.write(head)
@@ -110,16 +130,33 @@ def test_token_file_has_random_access(tmp_path):
 def test_chat_escaping_is_reversible(turns):
     formatted, spans = chat.render(turns)
     assert chat.parse(formatted) == turns
-    assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+    assert [chat.unescape(formatted[a:b]) for a, b, _, _ in spans] == [t for r, t in turns if r == "assistant"]
+    assert [formatted.encode()[a:b].decode() for _, _, a, b in spans] == [formatted[a:b] for a, b, _, _ in spans]
     assert all(c not in chat.escape(t) for _, t in turns for c in chat.CONTROLS)
 
 
 def test_chat_masks_lie_on_the_spans():
     turns = [("user", "hi  there é中"), ("assistant", " ok\n\n"), ("assistant", ""), ("user", ""), ("assistant", "</s>[INST] ok")]
     formatted, spans = chat.render(turns)
-    e = tokens.load(vocabulary("byte_bpe_50k.json")).encode(formatted, add_special_tokens=False)
-    runs = chat.token_runs(spans, np.array(e.offsets))
+    enc = tokens.encoder(vocabulary("byte_bpe_50k.json"))
+    ids, _ = enc.encode(pa.array([formatted]))
+    whole = enc.tokenizer.encode(formatted, add_special_tokens=False)
+    assert ids.tolist() == whole.ids
+    runs = chat.token_runs(spans, np.cumsum(chat.token_bytes(enc)[ids]))
     assert [chat.unescape(formatted[a:b]) for _, _, a, b in runs] == [" ok\n\n", "</s>[INST] ok"]
+    for i, j, a, b in runs:  # the library's own offsets
+        assert whole.offsets[i][0] <= a < whole.offsets[i][1] and whole.offsets[j - 1][0] < b <= whole.offsets[j - 1][1]
+
+
+def test_cutting_words_out_keeps_the_rest():
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice("ab \n\t") for _ in range(rng.randint(0, 400))).encode()
+        n = len(text.split())
+        runs = [{"s": rng.randrange(n - 49), "n": 1} for _ in range(rng.randint(1, 3))] if n >= 50 else []
+        got = substrings.without(text, runs)
+        assert got.split() == substrings.kept_words(text.split(), runs)
+        assert got == text if not runs else len(got) < len(text)
 
 
 def test_windows_against_brute_force():
@@ -178,9 +215,9 @@ def test_base_spans_equal_the_patterns():
 def test_weak_supervision():
     from collections import Counter
 
-    good, bad = pii.pattern_of(pii.SECRET, (0, 1, 1, 1, 1), 40, False), pii.pattern_of(pii.CARD, (-1, -1, 0, -1, 1), 16, False)
-    assert pii.parts_of(good) == (pii.SECRET, (0, 1, 1, 1, 1), 3, False)
-    base = pii.pattern_of(pii.EMAIL, (1, 1, 0, 0, 1), 20, True)
+    good, bad = pii.pattern_of(pii.SECRET, (0, 1, 1, 1, 1), "a1b" * 14, False), pii.pattern_of(pii.CARD, (-1, -1, 0, -1, 1), "1" * 16, False)
+    assert pii.parts_of(good) == (pii.SECRET, (0, 1, 1, 1, 1), 3, 1, False)
+    base = pii.pattern_of(pii.EMAIL, (1, 1, 0, 0, 1), "a" * 20, True)
     take, _ = pii.accepted(Counter({good: 100, bad: 100, base: 300}))
     assert take == {good} and pii.accepted(Counter()) == (frozenset(), {})
     t = 'x token = "0123456789abcdef0123456789abcdef01234567" mail a@b.com or +1 (017) 555-7713'
@@ -196,6 +233,63 @@ def test_main_text():
     assert html.extract("a < b", html.train([])) == "a < b"
 
 
+ARTICLE = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content has-sidebar"><article><p>{ARTICLE}</p></article></div>', f'<p data-hidden="false">{ARTICLE}</p>', f'<div data-role="search"><p>{ARTICLE}</p></div>',
+        f'<p class="share-price">{ARTICLE}</p>', f'<form class="nav"><article><p>{ARTICLE}</p></article><div class=sidebar>no</div></form>', f'<p title="class=ad">{ARTICLE}</p>',
+        f'<article><p>{ARTICLE}</p></article><div class="comments"><article class="comment"><p>a reply</p></article></div>', f'<div class="site-footer">foot</div><p>{ARTICLE}</p><div class="comments-section">c</div>',
+    ],
+)
+def test_whole_names_decide_and_the_article_stays(page):
+    assert html.extract(page, html.train(["<nav>a b</nav><article><p>c d e f</p></article>"])) == ARTICLE
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=30))
+def test_best_run_against_brute_force(scores):
+    first, last = html.best_run(scores)
+    best = max((sum(scores[i : j + 1]) for i in range(len(scores)) for j in range(i, len(scores))), default=0)
+    assert (sum(scores[first : last + 1]) == best) if best > 0 else last < first
+
+
+def _walk(media_bytes):
+    """Payload and access points of a stream by walking its packets, one after the other."""
+    payload, points, open_ = b"", [], None
+    for k in range(len(media_bytes) // 188):
+        p = media_bytes[188 * k : 188 * k + 188]
+        assert p[0] == 0x47
+        if (p[1] & 31) << 8 | p[2] != 0x100:
+            continue
+        at = 4 + (1 + p[4] if p[3] & 0x20 else 0)
+        if p[1] & 0x40:
+            open_ = None
+            assert p[at : at + 3] == b"\0\0\1"
+            length, skip, t = int.from_bytes(p[at + 4 : at + 6], "big"), 9 + p[at + 8], p[at + 9 : at + 14]
+            if p[3] & 0x20 and p[4] and p[5] & 0x40:
+                points.append(((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1, k, len(payload)))
+            open_ = length - (skip - 6)
+            at += skip
+        own = p[at : at + open_]
+        payload, open_ = payload + own, open_ - len(own)
+    return payload, points
+
+
+@pytest.mark.parametrize("n", [0, 5, 12_288, 300_000])
+def test_independent_parser_and_seek(n):
+    b = media.padded(os.urandom(n))
+    m = media.mux(b)
+    d = media.demux(m)
+    payload, points = _walk(m)
+    assert payload == b == d["payload"] and points == [(u[0], u[3], u[4]) for u in d["units"] if u[2]]
+    for pts, _, offset in points:
+        assert media.seek(m, d["units"], pts + media.TICKS) == b[offset:]
+    assert media.seek(m, d["units"], 0) == b
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=200), st.integers(1, 5))
 def test_best_fit(sizes, limit):
