@@ -124,8 +124,10 @@ def test_probes_find_every_pair_within_the_distance(spark):
 def test_bridges_connect_components():
     base = np.arange(100, dtype=np.uint64)
     a, c = base[:80], base[20:]
-    assert near.components([a, c]) == [0, 1]
-    assert near.components([a, c, base]) == [0, 0, 0]
+    fps = np.zeros(3, np.uint64)
+    assert near.components([a, c], fps[:2]).tolist() == [0, 1]
+    assert near.components([a, c, base], fps).tolist() == [0, 0, 0]
+    assert near.components([a, c, base], np.array([0, 0, 255], np.uint64)).tolist() == [0, 1, 2]
 
 
 def test_pipeline_by_the_general_rule(spark):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_texts, written
-from .simhash import BITS, SEED, components_within, connected, fingerprint, mask_of, plan, shingle_hashes, signed
+from .simhash import BITS, SEED, connected, fingerprint, mask_of, plan, shingle_hashes, signed
 from .substrings import bit_table, in_table
 
 SHINGLE, SIMILAR, DISTANCE = 5, 0.8, 7
@@ -52,25 +52,43 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def components(sets: list[np.ndarray]) -> list[int]:
-    """Index of each set's root, the first of its component."""
-    parts: list[list[int]] = []
-    for i, own in enumerate(sets):
-        hit = [p for p in parts if any(similar(sets[j], own) for j in p)]
-        if hit:
-            for p in hit[1:]:
-                hit[0] += p
-                parts.remove(p)
-            hit[0].append(i)
-        else:
-            parts.append([i])
-    root = [0] * len(sets)
-    for p in parts:
-        for i in p:
-            root[i] = min(p)
+def components(sets: list[np.ndarray], fps: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+    """Index of each set's root, the first of its component. Two sets are linked if their fingerprints
+    differ in ``distance`` bits at most and they are similar; a set that is connected already is compared
+    with those only that are not."""
+    root, left = np.arange(len(sets)), np.arange(len(sets))
+    while len(left):
+        first, left = int(left[0]), left[1:]
+        queue = [first]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[i]) <= distance
+            near[near] = [similar(sets[i], sets[j]) for j in left[near].tolist()]
+            found, left = left[near], left[~near]
+            root[found] = first
+            queue += found.tolist()
     return root
 
 
+def connected_prints(fps: np.ndarray, distance: int) -> np.ndarray:
+    """Index of each fingerprint's root, the first of its component."""
+    root, left = np.arange(len(fps)), np.arange(len(fps))
+    while len(left):
+        first, left = int(left[0]), left[1:]
+        queue = [first]
+        while queue and len(left):
+            near = np.bitwise_count(fps[left] ^ fps[queue.pop()]) <= distance
+            found, left = left[near], left[~near]
+            root[found] = first
+            queue += found.tolist()
+    return root
+
+
+def word_print(words: list[bytes]) -> int:
+    """Fingerprint of the distinct words."""
+    return fingerprint(shingle_hashes(list(dict.fromkeys(words)), 1))
+
+
 def prints(docs: DataFrame) -> DataFrame:
     """doc_id, Spark's hash of the text, digest of its shingles and fingerprint of its distinct words."""
 
@@ -80,7 +98,7 @@ def prints(docs: DataFrame) -> DataFrame:
         def one(text: str) -> tuple[int, int, int]:
             raw = text.encode()
             words = raw.lower().split()
-            return xxh64_intdigest(raw, 42), xxh64_intdigest(shingles(words).tobytes(), SEED), fingerprint(shingle_hashes(list(dict.fromkeys(words)), 1))
+            return xxh64_intdigest(raw, 42), xxh64_intdigest(shingles(words).tobytes(), SEED), word_print(words)
 
         def step(ids: list, texts: list[str]) -> dict:
             known = {t: one(t) for t in dict.fromkeys(texts)}
@@ -107,7 +125,7 @@ def _sharing(rows: DataFrame, distance: int) -> DataFrame:
             if int(fps[0] ^ fps[1]).bit_count() <= distance:
                 yield np.sort(digests)
             return
-        root = components_within(fps, distance)
+        root = connected_prints(fps, distance)
         for r in np.unique(root[root != np.arange(len(fps))]).tolist():
             yield np.sort(digests[root == r])
 
@@ -178,39 +196,42 @@ def candidates(classes: DataFrame, distance: int = DISTANCE, group: int = GROUP)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """digest and the bytes of the shingles of each text."""
+    """digest, fingerprint and the bytes of the shingles of each text."""
 
     def make():
         def step(ids: list, own: list[str]) -> dict:
-            return {"digest": ids, "own": [shingles(t.encode().lower().split()).tobytes() for t in own]}
+            words = [t.encode().lower().split() for t in own]
+            return {"digest": ids, "fp": np.array([word_print(w) for w in words], np.uint64).view(np.int64), "own": [shingles(w).tobytes() for w in words]}
 
         return step
 
-    return map_texts(texts, make, "digest long, own binary", "digest")
+    return map_texts(texts, make, "digest long, fp long, own binary", "digest")
 
 
-def verified(groups: DataFrame) -> DataFrame:
-    """Stars (a, b) of the components of each group (gid, digest, own)."""
+def verified(groups: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Stars (a, b) of the components of each group (gid, digest, fp, own)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def stars(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = [(names[r], names[i]) for i, r in enumerate(components(sets)) if r != i]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
+    def stars(names: list[int], fps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        root = components(sets, np.array(fps, np.int64).view(np.uint64), distance)
+        own, linked = np.array(names, np.int64), root != np.arange(len(sets))
+        return pa.RecordBatch.from_arrays([pa.array(own[root[linked]]), pa.array(own[linked])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, sets = None, [], []
+        now, names, fps, sets = None, [], [], []
         for x in batches:
-            for gid, name, own in zip(*(x.column(c).to_pylist() for c in ("gid", "digest", "own")), strict=True):
+            for gid, name, fp, own in zip(*(x.column(c).to_pylist() for c in ("gid", "digest", "fp", "own")), strict=True):
                 if gid != now and names:
-                    yield stars(names, sets)
-                    names, sets = [], []
+                    yield stars(names, fps, sets)
+                    names, fps, sets = [], [], []
                 now = gid
                 names.append(name)
+                fps.append(fp)
                 sets.append(np.frombuffer(own, np.uint64))
         if names:
-            yield stars(names, sets)
+            yield stars(names, fps, sets)
 
-    return groups.select("gid", "digest", "own").repartition("gid").sortWithinPartitions("gid", "digest").mapInArrow(run, "a long, b long")
+    return groups.select("gid", "digest", "fp", "own").repartition("gid").sortWithinPartitions("gid", "digest").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
@@ -222,7 +243,7 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, group: int = GROUP) -
     again = classes.join(groups.select("digest").distinct(), "digest").select("h", "digest")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(again, "h").dropDuplicates(["h"]).select("digest", "text")
-    roots = connected(verified(groups.join(shingle_sets(texts), "digest")))
+    roots = connected(verified(groups.join(shingle_sets(texts), "digest"), distance))
     rooted = classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     least = F.min(F.struct(F.col("first").isNull(), F.col("first"), F.col("digest"))).alias("m")
     named = rooted.groupBy("root").agg(least).select("root", F.col("m.first").alias("component_id"), F.col("m.digest").alias("first_digest"))
