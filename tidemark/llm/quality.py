@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the sample that costs and rejections are measured on, about, and characters of each, at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 200, 20_000
-#: How often the sample is judged in one measured job, and jobs of which the fastest counts.
-REPEATS, JOBS = 2, 1
+#: How often the sample is judged in one measured job.
+REPEATS = 2
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
 SPACE = r"\x20\x09-\x0D"
@@ -131,9 +131,10 @@ def cascade(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, int]]:
-    """(rule, cost, rejected texts) on a sample of ``docs``. A rule is timed on its own, with all its
-    features, over ``REPEATS`` copies of the sample. What a job takes without any rule is subtracted, and
-    is the unit of costs; a quarter of it is the least that is told apart."""
+    """(rule, cost, rejected texts) on a sample of ``docs``. Rules that need the same features are timed
+    together, with these features, over ``REPEATS`` copies of the sample, after one run that compiles. What
+    such a job takes without any rule is subtracted, and is the unit of costs; a quarter of it is the least
+    that is told apart."""
     spark, n = docs.sparkSession, docs.count()
     text = F.substring(F.coalesce(docs["text"].cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("text")
     rows = docs.select(text).where(F.rand(42) < sample_rows / max(n, 1)).limit(4 * sample_rows).collect()
@@ -141,20 +142,23 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
         return [(r, 1.0, 0) for r in rules]
     local = spark.createDataFrame(rows, "text string").coalesce(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
-    def seconds(probe: DataFrame) -> tuple[float, int]:
-        best, found = math.inf, 0
-        for k in range(JOBS + 1):  # the first one compiles
-            began = time.perf_counter()
-            found = probe.collect()[0][0]
-            best = min(best, time.perf_counter() - began) if k else best
-        return best, int(found)
+    def seconds(probe: DataFrame) -> tuple[float, list[int]]:
+        probe.collect()
+        began = time.perf_counter()
+        found = probe.collect()[0]
+        return time.perf_counter() - began, list(found)
 
     floor, _ = seconds(local.agg(F.sum(F.length("text"))))
-    out = []
-    for rule in rules:
-        took, found = seconds(cascade(local, [rule]).agg(F.count_if(~F.col("kept"))))
-        out.append((rule, max((took - floor) / floor, 0.25), found // REPEATS))
-    return out
+    cost: dict[tuple[str, ...], float] = {}
+    found: dict[str, int] = {}
+    for needs in dict.fromkeys(r.needs for r in rules):
+        own, d = [r for r in rules if r.needs == needs], _plain(local)
+        for name in needs:
+            d = FEATURES[name](d, F.lit(True))
+        took, counts = seconds(d.agg(*(F.count_if(F.expr(r.rejects)).alias(r.name) for r in own)))
+        cost[needs] = max((took - floor) / floor, 0.25)
+        found |= {r.name: c // REPEATS for r, c in zip(own, counts, strict=True)}
+    return [(r, cost[r.needs], found[r.name]) for r in rules]
 
 
 def ordered(measures: list[tuple[Rule, float, int]]) -> list[Rule]:
