@@ -15,11 +15,11 @@ from .operators.grid import LOOKBACK, Grid
 from .plans.ast import Node, Selector, tree
 from .plans.parser import parse
 from .plans.rules import Rules
-from .plans.translate import Samples, Scalar, Translator, Vector
+from .plans.translate import BROADCAST_ROWS, Samples, Scalar, Translator, Vector
 from .sources.metrics import Catalog
 from .times import duration_ms, instant_ms
 
-#: Points a series and series of a range query, at most, where a guard is asked for.
+#: Points a series and series of a range query, at most, where a guard is asked for.
 MAX_POINTS, MAX_SERIES = 50_000, 5_000
 
 
@@ -74,7 +74,7 @@ class Engine:
         if not limit:
             return rows
         first = rows.select("lkey").distinct().orderBy("lkey").limit(limit)
-        return rows.join(F.broadcast(first), "lkey", "left_semi")
+        return rows.join(F.broadcast(first) if limit <= BROADCAST_ROWS else first, "lkey", "left_semi")
 
     def guard(self, rows: DataFrame, max_series: int = MAX_SERIES) -> DataFrame:
         """The rows, if they have no more series than allowed."""

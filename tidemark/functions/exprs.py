@@ -98,9 +98,17 @@ def round_to(v: Column, unit: Column) -> Column:
 
 def text(v: Column) -> Column:
     """A float as the shortest decimal without an exponent, for label values."""
-    plain = F.regexp_replace(F.format_string("%s", v.cast("decimal(38,17)")), r"\.?0+$", "")
-    shortest = F.when(F.abs(v) < 1e15, F.when(v == _whole(F.floor, v), v.cast("long").cast("string")).otherwise(F.when(v.cast("string").contains("E"), plain).otherwise(v.cast("string")))).otherwise(F.when(F.abs(v) < 1e20, v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string")))
-    return F.when(F.isnan(v), F.lit("NaN")).when(v == INF, F.lit("+Inf")).when(v == -INF, F.lit("-Inf")).otherwise(shortest)
+    shown = v.cast("string")
+    part = lambda k: F.regexp_extract(shown, r"^-?([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", k)
+    whole, exponent = part(1), F.coalesce(F.expr("0") + F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    digits = F.concat(whole, F.regexp_replace(part(2), "0+$", ""))
+    point = F.length(whole) + exponent
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), F.regexp_replace(digits, "^0+(?=.)", ""))
+    large = F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits)))
+    inner = F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, F.length(digits)))
+    plain = F.when(point >= F.length(digits), large).when(point <= 0, small).otherwise(inner)
+    signed = F.concat(F.when(F.startswith(shown, F.lit("-")), F.lit("-")).otherwise(F.lit("")), plain)
+    return F.when(F.isnan(v), F.lit("NaN")).when(v == INF, F.lit("+Inf")).when(v == -INF, F.lit("-Inf")).otherwise(signed)
 
 
 def quantile_of_sorted(phi: Column, values: Column) -> Column:

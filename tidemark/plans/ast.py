@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, is_dataclass
+from decimal import Decimal
 from math import isinf, isnan
 
 
@@ -16,7 +17,7 @@ def number_text(v: float) -> str:
         return "NaN"
     if isinf(v):
         return "+Inf" if v > 0 else "-Inf"
-    return str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(v)
+    return format(Decimal(repr(float(v))), "f").removesuffix(".0")
 
 
 def _quoted(s: str) -> str:

@@ -21,13 +21,18 @@ from .ast import Aggregate, Binary, Call, Matcher, Matching, Negative, Node, Num
 from .parser import COMPARISONS, SETS
 
 
+#: Rows of a table that is broadcast, at most.
+BROADCAST_ROWS = 50_000
+
+
 @dataclass
 class Scalar:
-    """A value for each time: an expression of the time column, or a table (ts, value)."""
+    """A value for each time: an expression of the time column, or a table (ts, value) of so many points."""
 
     of: Callable[[Column], Column] | None = None
     table: DataFrame | None = None
     constant: float | None = None
+    points: int = 0
 
 
 @dataclass
@@ -153,7 +158,7 @@ class Translator:
 
     def scalar_map(self, s: Scalar, fn: Callable[[Column], Column]) -> Scalar:
         if s.table is not None:
-            return Scalar(table=s.table.withColumn("value", fn(F.col("value"))))
+            return Scalar(table=s.table.withColumn("value", fn(F.col("value"))), points=s.points)
         return Scalar(lambda ts: fn(s.of(ts)))
 
     def scalar_rows(self, s: Scalar, grid: Grid) -> DataFrame:
@@ -162,10 +167,12 @@ class Translator:
         return grid.frame(self.spark).select("ts", s.of(F.col("ts")).alias("value"))
 
     def with_scalar(self, rows: DataFrame, s: Scalar, name: str) -> DataFrame:
-        """Adds a scalar's value; a table of it has a row for each time of the grid at most."""
+        """Adds a scalar's value; a table of it has a row for each time of the grid and is broadcast if
+        these are few, which the grid of a subquery need not be."""
         if s.table is None:
             return rows.withColumn(name, s.of(F.col("ts")))
-        return rows.join(F.broadcast(s.table.select("ts", F.col("value").alias(name))), "ts", "left").withColumn(name, F.coalesce(name, X.lit(X.NAN)))
+        table = s.table.select("ts", F.col("value").alias(name))
+        return rows.join(F.broadcast(table) if s.points <= BROADCAST_ROWS else table, "ts", "left").withColumn(name, F.coalesce(name, X.lit(X.NAN)))
 
     # -- selectors ------------------------------------------------------------
     def pinned(self, shift: Shift, grid: Grid) -> int | None:
@@ -276,7 +283,7 @@ class Translator:
         if l.table is None and r.table is None:
             return Scalar(lambda ts: both(l.of(ts), r.of(ts)))
         rows = self.with_scalar(self.with_scalar(grid.frame(self.spark), l, "_l"), r, "_r")
-        return Scalar(table=rows.select("ts", both(F.col("_l"), F.col("_r")).alias("value")))
+        return Scalar(table=rows.select("ts", both(F.col("_l"), F.col("_r")).alias("value")), points=grid.last + 1)
 
     # -- functions ------------------------------------------------------------
     def call(self, node: Call, grid: Grid):
@@ -302,7 +309,7 @@ class Translator:
             v = self.vector(args[0], grid, name)
             one = v.rows.groupBy("ts").agg(F.count("*").alias("n"), F.max("value").alias("v"))
             rows = grid.frame(self.spark).join(one, "ts", "left")
-            return Scalar(table=rows.select("ts", F.when(F.col("n") == 1, F.col("v")).otherwise(X.lit(X.NAN)).alias("value")))
+            return Scalar(table=rows.select("ts", F.when(F.col("n") == 1, F.col("v")).otherwise(X.lit(X.NAN)).alias("value")), points=grid.last + 1)
         if name == "absent":
             return self.absent(self.vector(args[0], grid, name).rows, args[0], grid)
         if name == "timestamp":
@@ -385,8 +392,10 @@ class Translator:
             order = [F.isnan("value"), F.col("value").desc() if name == "sort_desc" else F.col("value").asc(), F.col("lkey")]
         else:
             names = [self.text(a, name) for a in args[1:]]
-            # runs of digits compare as numbers: pad each with zeros
-            pad = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+            # runs of digits compare as numbers: each has its length before it
+            number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+            sized = lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 9, "0"), number(p))).otherwise(p)
+            pad = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1), sized), "")
             order = [pad(L.get(F.col("lkey"), n)) for n in names] + [F.col("lkey")]
             order = [c.desc() for c in order] if name.endswith("desc") else order
         return Vector(rows.orderBy("ts", *order), v.named)
@@ -400,7 +409,7 @@ class Translator:
         from .parser import check_pattern
 
         check_pattern(Matcher(dst, "=~", pattern))
-        whole = f"(?s)^(?:{java_pattern(pattern)})$"
+        whole = rf"(?s)\A(?:{java_pattern(pattern)})\z"
         value = L.get(F.col("lkey"), src)
         pieces = [F.lit(x) if kind == "text" else F.regexp_extract(value, whole, x) for kind, x in go_template(repl, pattern)]
         new = F.concat(*pieces) if pieces else F.lit("")

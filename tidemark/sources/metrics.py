@@ -24,7 +24,7 @@ def matches(value: Column, m: Matcher) -> Column:
     if m.op in ("=", "!="):
         hit = value == F.lit(m.value)
         return hit if m.op == "=" else ~hit
-    hit = value.rlike(f"^(?:{m.value})$")
+    hit = value.rlike(rf"\A(?:{m.value})\z")
     return hit if m.op == "=~" else ~hit
 
 
