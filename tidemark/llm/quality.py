@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows of the sample that costs and rejections are measured on, about, and characters of each, at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 200, 20_000
 #: How often the sample is judged in one measured job.
@@ -131,16 +133,16 @@ def cascade(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, int]]:
-    """(rule, cost, rejected texts) on a sample of ``docs``. Rules that need the same features are timed
+    """(rule, cost, rejected texts) on a sample of ``docs``, which is written and never leaves the cluster. Rules that need the same features are timed
     together, with these features, over ``REPEATS`` copies of the sample, after one run that compiles. What
     such a job takes without any rule is subtracted, and is the unit of costs; a quarter of it is the least
     that is told apart."""
-    spark, n = docs.sparkSession, docs.count()
+    n = docs.count()
     text = F.substring(F.coalesce(docs["text"].cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("text")
-    rows = docs.select(text).where(F.rand(42) < sample_rows / max(n, 1)).limit(4 * sample_rows).collect()
-    if not rows:
+    sample = written(docs.select(text).where(F.rand(42) < sample_rows / max(n, 1)).limit(4 * sample_rows), "quality-sample")
+    if sample.isEmpty():
         return [(r, 1.0, 0) for r in rules]
-    local = spark.createDataFrame(rows, "text string").coalesce(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+    local = sample.coalesce(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
     def seconds(probe: DataFrame) -> tuple[float, list[int]]:
         probe.collect()
@@ -163,7 +165,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
 
 def ordered(measures: list[tuple[Rule, float, int]]) -> list[Rule]:
     """Rules by rejected texts per cost, the most first; ties keep the given order."""
-    cost = lambda c: 4 ** round(math.log(c, 4))
+    cost = lambda c: 4 ** math.floor(math.log(c, 4))
     return [m[0] for m in sorted(measures, key=lambda m: -(m[2] + 0.5) / cost(m[1]))]
 
 
