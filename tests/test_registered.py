@@ -37,3 +37,11 @@ def test_entry_without_the_training_data_operators(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(__spark_entry__)
+
+
+@pytest.mark.parametrize(("name", "column", "low"), [("selector_grid", "ts", True), ("topk_by", "o_orderdate", True), ("histogram_quantile", "ts", True), ("rate", "ts", False)])
+def test_times_prune_the_scan(spark, capsys, name, column, low):
+    metrics.queries()[name](spark, SF).explain("formatted")
+    pushed = [x for x in capsys.readouterr().out.splitlines() if x.startswith("PushedFilters")]
+    assert pushed and all(f"LessThan({column}," in x for x in pushed)
+    assert all((f"GreaterThanOrEqual({column}," in x) == low for x in pushed)

@@ -8,7 +8,7 @@ column predicates, which reach the Parquet scan.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -33,23 +33,35 @@ def matches_text(value: str, m: Matcher) -> bool:
     return hit == (m.op in ("=", "=~"))
 
 
+def within(d: DataFrame, column: str, low: int | None, high: int | None) -> DataFrame:
+    """Rows whose time in a timestamp column is from ``low`` to ``high`` ms, where given: predicates on the
+    plain column, which the Parquet scan prunes by."""
+    edge = lambda ms: F.timestamp_millis(F.lit(ms).cast("long")).cast(d.schema[column].dataType)
+    if low is not None:
+        d = d.where(F.col(column) >= edge(low))
+    return d if high is None else d.where(F.col(column) < edge(high + 1))
+
+
 @dataclass(frozen=True)
 class Metric:
     """One metric in a table of its own. ``labels`` names label columns; ``at`` is a column of
-    milliseconds. ``bound`` tells how to bound the raw time column, so that the scan can prune."""
+    milliseconds. ``bound`` names the raw time column, so that the scan can prune. ``rows`` may be a
+    function of both bounds (or None), for a table that is computed from the rows within them."""
 
     name: str
-    rows: DataFrame
+    rows: DataFrame | Callable[[int | None, int | None], DataFrame]
     labels: tuple[str, ...]
     at: str = "t"
     value: str = "value"
     bound: str | None = None
 
+    def table(self, low: int | None = None, high: int | None = None) -> DataFrame:
+        return self.rows(low, high) if callable(self.rows) else self.rows
+
     def scan(self, matchers: Sequence[Matcher], low: int | None, high: int | None) -> DataFrame:
-        d = self.rows
+        d = self.table(low, high)
         if self.bound and low is not None:
-            edge = lambda ms: F.timestamp_millis(F.lit(ms).cast("long")).cast(d.schema[self.bound].dataType)
-            d = d.where((F.col(self.bound) >= edge(low)) & (F.col(self.bound) < edge(high + 1)))
+            d = within(d, self.bound, low, high)
         for m in matchers:
             if m.label != L.NAME:
                 known = F.coalesce(F.col(m.label).cast("string"), F.lit("")) if m.label in self.labels else F.lit("")

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .metrics import Catalog, Metric, SeriesStore
+from .metrics import Catalog, Metric, SeriesStore, within
 
 #: Bucket bounds of events_value_bucket (fixed values).
 BOUNDS = (10.0, 25.0, 50.0, 75.0, 100.0, 250.0)
-DAY = 86_400_000
+DAY, HOUR = 86_400_000, 3_600_000
 
 
 def millis(ts: str):
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
+def _plus(ms: int | None, by: int) -> int | None:
+    return None if ms is None else ms + by
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,35 +33,53 @@ def gauge(spark: SparkSession, sf_dir: str) -> Metric:
 
 def by_type(spark: SparkSession, sf_dir: str) -> Metric:
     """events_type_value{event_type}: all users' values of a type as one series."""
-    e = read(spark, sf_dir, "events").withColumn("t", millis("ts"))
-    one = e.groupBy("event_type", "t").agg(F.max_by("value", "event_id").alias("value"))
-    return Metric("events_type_value", one, ("event_type",))
+
+
+    def rows(low: int | None, high: int | None) -> DataFrame:
+        e = within(read(spark, sf_dir, "events"), "ts", low, high).withColumn("t", millis("ts"))
+        return e.groupBy("event_type", "t").agg(F.max_by("value", "event_id").alias("value"))
+
+    return Metric("events_type_value", rows, ("event_type",))
 
 
 def counter(spark: SparkSession, sf_dir: str, slice_ms: int = DAY) -> Metric:
     """events_total{event_type}: running number of events. Counts run within a day; days before add up
-    as one row each, so that no task sorts a whole type."""
-    e = read(spark, sf_dir, "events").select("event_type", millis("ts").alias("t"))
-    at = e.groupBy("event_type", "t").agg(F.count("*").alias("c")).withColumn("d", F.floor(F.col("t") / slice_ms))
-    days = at.groupBy("event_type", "d").agg(F.sum("c").alias("dc"))
-    before = Window.partitionBy("event_type").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("event_type", "d", F.coalesce(F.sum("dc").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("event_type", "d").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = at.withColumn("n", F.sum("c").over(within)).join(days, ["event_type", "d"])
-    return Metric("events_total", rows.select("event_type", "t", (F.col("n") + F.col("base")).cast("double").alias("value")), ("event_type",))
+    as one row each, so that no task sorts a whole type. Only events after the upper bound can be left out."""
+
+    def rows(low: int | None, high: int | None) -> DataFrame:
+        e = within(read(spark, sf_dir, "events"), "ts", None, high).select("event_type", millis("ts").alias("t"))
+        at = e.groupBy("event_type", "t").agg(F.count("*").alias("c")).withColumn("d", F.floor(F.col("t") / slice_ms))
+        days = at.groupBy("event_type", "d").agg(F.sum("c").alias("dc"))
+        before = Window.partitionBy("event_type").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.select("event_type", "d", F.coalesce(F.sum("dc").over(before), F.lit(0)).alias("base"))
+        so_far = Window.partitionBy("event_type", "d").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = at.withColumn("n", F.sum("c").over(so_far)).join(days, ["event_type", "d"])
+        return counts.select("event_type", "t", (F.col("n") + F.col("base")).cast("double").alias("value"))
+
+    return Metric("events_total", rows, ("event_type",))
 
 
 def buckets(spark: SparkSession, sf_dir: str) -> Metric:
     """events_value_bucket{event_type, le}: hourly counts of values up to each bound, at the hour's end."""
-    e = read(spark, sf_dir, "events").select("event_type", "value", ((F.floor(millis("ts") / 3_600_000) + 1) * 3_600_000).alias("t"))
-    bounds = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(str(int(b))).alias("le")) for b in BOUNDS), F.struct(F.lit(float("inf")).alias("b"), F.lit("+Inf").alias("le")))
-    rows = e.select("event_type", "t", "value", F.explode(bounds).alias("x")).groupBy("event_type", "t", F.col("x.le").alias("le")).agg(F.sum(F.when(F.col("value") <= F.col("x.b"), 1.0).otherwise(0.0)).alias("value"))
+    bounds = [*((b, str(int(b))) for b in BOUNDS), (float("inf"), "+Inf")]
+
+    def rows(low: int | None, high: int | None) -> DataFrame:
+        e = within(read(spark, sf_dir, "events"), "ts", _plus(low, -HOUR), high)
+        e = e.select("event_type", "value", ((F.floor(millis("ts") / HOUR) + 1) * HOUR).alias("t"))
+        # one count for each bound, so that no event is copied; the few results are spread
+        counts = e.groupBy("event_type", "t").agg(*(F.count_if(F.col("value") <= b).cast("double").alias(f"c{i}") for i, (b, _) in enumerate(bounds)))
+        each = F.array(*(F.struct(F.lit(le).alias("le"), F.col(f"c{i}").alias("value")) for i, (_, le) in enumerate(bounds)))
+        return counts.select("event_type", "t", F.explode(each).alias("x")).select("event_type", "t", "x.le", "x.value")
+
     return Metric("events_value_bucket", rows, ("event_type", "le"))
 
 
 def _daily(spark: SparkSession, sf_dir: str, table: str, ts: str, name: str, labels: dict[str, str], value) -> Metric:
-    d = read(spark, sf_dir, table).select(*(F.col(c).alias(n) for n, c in labels.items()), value.alias("v"), (F.floor(millis(ts) / DAY) * DAY).alias("t"))
-    rows = d.groupBy(*labels, "t").agg(F.sum("v").alias("value"))
+    def rows(low: int | None, high: int | None) -> DataFrame:
+        d = within(read(spark, sf_dir, table), ts, low, _plus(high, DAY))
+        d = d.select(*(F.col(c).alias(n) for n, c in labels.items()), value.alias("v"), (F.floor(millis(ts) / DAY) * DAY).alias("t"))
+        return d.groupBy(*labels, "t").agg(F.sum("v").alias("value"))
+
     return Metric(name, rows, tuple(labels))
 
 
@@ -65,7 +87,7 @@ def quantity(spark: SparkSession, sf_dir: str) -> Metric:
     """lineitem_quantity_total{returnflag, linestatus}: running daily sums by ship date."""
     d = _daily(spark, sf_dir, "lineitem", "l_shipdate", "lineitem_quantity_total", {"returnflag": "l_returnflag", "linestatus": "l_linestatus"}, F.col("l_quantity"))
     w = Window.partitionBy("returnflag", "linestatus").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return Metric(d.name, d.rows.withColumn("value", F.sum("value").over(w)), d.labels)
+    return Metric(d.name, lambda low, high: d.table(None, high).withColumn("value", F.sum("value").over(w)), d.labels)
 
 
 def prices(spark: SparkSession, sf_dir: str) -> Metric:
@@ -95,9 +117,9 @@ def target_info(spark: SparkSession, sf_dir: str) -> Metric:
 def event_store(spark: SparkSession, sf_dir: str) -> SeriesStore:
     """The events by type as a series/samples pair."""
     m = by_type(spark, sf_dir)
-    series = m.rows.groupBy("event_type").agg(F.min("t").alias("min_time"), F.max("t").alias("max_time"))
+    series = m.table().groupBy("event_type").agg(F.min("t").alias("min_time"), F.max("t").alias("max_time"))
     series = series.select(F.col("event_type").alias("id"), F.lit("stored_value").alias("metric_name"), F.create_map(F.lit("event_type"), F.col("event_type")).alias("labels"), "min_time", "max_time")
-    samples = m.rows.select(F.col("event_type").alias("id"), F.col("t").alias("ts_ms"), "value", F.lit(False).alias("is_stale"))
+    samples = m.table().select(F.col("event_type").alias("id"), F.col("t").alias("ts_ms"), "value", F.lit(False).alias("is_stale"))
     return SeriesStore(series, samples)
 
 
