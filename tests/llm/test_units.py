@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import bpe, chat, html, media, packing, pii, simhash, substrings, tokenfile, tokens
+from tidemark.llm import bpe, chat, chunks, html, media, packing, pii, simhash, substrings, tokenfile, tokens
 from tidemark.llm.common import vocabulary
 
 ALPHABET = " \n\t\r\xa0a b,.'sS1éÉ中　\x1c\x85’'ll 're_-$Σİ"
@@ -300,3 +300,28 @@ def test_best_fit(sizes, limit):
         used[b] = offset + n
         assert bins.open <= limit
     assert len(used) == bins.made
+
+
+def test_coder_forgets_rare_pieces_only():
+    """A coder's memory is bounded, and pieces that all calls have are encoded once."""
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [np.array([len(p), ord(p[-1])], "<u4").tobytes() for p in pieces]
+
+    coder = chunks.TextCoder(encode, False, 100)
+    for k in range(50):
+        words = ["the", "of", *(f"w{k}x{i}" for i in range(60)), "y" * 70]
+        ids, sizes = coder(pa.array([" ".join(words), "", "of the"]))
+        assert ids.tolist() == [x for w in [*words, "of", "the"] for x in (len(w), ord(w[-1]))]
+        assert sizes.tolist() == [2 * len(words), 0, 4] and len(coder.known) <= 100 + len(words)
+    assert asked.count("the") == asked.count("of") == 1
+
+
+def test_word_encoder_holds_a_bounded_number_of_words():
+    enc = tokens.Encoder(vocabulary("word_bpe_49k.json"))
+    enc.encode(pa.array([" ".join(f"w{i}" for i in range(310_000))]))
+    got, _ = enc.encode(pa.array(["two words w7"]))
+    assert len(enc.coder.known) < 1000 and enc.coder.used < 1 << 16
+    assert got.tolist() == enc.tokenizer.encode("two words w7", add_special_tokens=False).ids

@@ -18,6 +18,8 @@ import regex
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts with a space on the right of other white space, empty lines or unusual white space go through the pattern.
 ODD = r"  |\n\n|\n |[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Ids of known pieces that a coder holds, about.
+POOL = 24_000_000
 #: Marks a piece that has no space before it.
 BARE = "\0"
 
@@ -69,7 +71,9 @@ class TextCoder:
 
     ``encode(pieces)`` gives the ids of unseen pieces as little-endian unsigned 32-bit integers. ``spaced``:
     a space before a word belongs to it, as in byte-level vocabularies; else white space only parts words,
-    and ASCII letters of Latin-1 texts are lower-cased before they are looked up.
+    and ASCII letters of Latin-1 texts are lower-cased before they are looked up. Beyond ``limit`` known
+    pieces, those that most calls had stay known, half of ``limit`` at most; what is forgotten is encoded
+    again where it comes back, which bounds the memory and never changes a result.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, limit: int = 1_000_000, longest: int = 64):
@@ -80,8 +84,30 @@ class TextCoder:
         self.known: dict[str, int] = {"": 0} | ({BARE: 0} if self.spaced else {})
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.calls = np.zeros(1 << 12, np.int64)
         self.count = 1
 
+    def _forget(self) -> None:
+        """Drops the pieces that one call had only, and of the others those of the fewest calls."""
+        calls = self.calls[: self.count]
+        calls[0] = 0
+        kept = calls > 1
+        if kept.sum() > self.limit // 2:
+            top = np.argsort(calls, kind="stable")[self.count - self.limit // 2 :]
+            kept[:] = False
+            kept[top] = True
+        sizes = self.sizes[: self.count][kept]
+        if int(sizes.sum()) > POOL // 2:
+            return self._reset()
+        flat = self.pool[ragged(self.starts[: self.count][kept], sizes)]
+        places = np.where(kept, np.cumsum(kept), 0).tolist()
+        known = {p: places[n] for p, n in self.known.items() if places[n]}
+        calls = calls[kept] // 2
+        self._reset()
+        self.known.update(known)
+        self._add(flat, sizes)
+        self.calls[1 : self.count] = calls
+
     def _store(self, values: list[bytes]) -> None:
         self._add(np.frombuffer(b"".join(values), "<u4"), np.array([len(v) >> 2 for v in values], np.int64))
 
@@ -90,7 +116,7 @@ class TextCoder:
         while len(self.pool) < self.used + len(flat):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while len(self.starts) < self.count + len(sizes):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.calls = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.calls))
         at = slice(self.count, self.count + len(sizes))
         self.pool[self.used : self.used + len(flat)] = flat
         self.sizes[at] = sizes
@@ -118,6 +144,7 @@ class TextCoder:
                 self._add(self.pool[ragged(self.starts[both], sizes)], sizes[::2] + sizes[1::2])
                 known.update(zip(parted, range(first, first + len(parted)), strict=True))
         out = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        self.calls[out] += 1
         for p in fresh:
             if len(p) > self.longest:
                 del known[p]
@@ -148,8 +175,8 @@ class TextCoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        if len(self.known) > self.limit or self.used > 24_000_000:
-            self._reset()
+        if len(self.known) > self.limit or self.used > POOL:
+            self._forget()
         n = len(texts)
         if not n:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)

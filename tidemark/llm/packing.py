@@ -106,6 +106,7 @@ def _pieces(docs: DataFrame, path: str, size: int, open_bins: int, end_id: int,
         rows = [(*r[:7], True, *r[8:]) for own in held.values() for r in own]
         for i in range(0, len(rows), 2000):
             yield batch(rows[i : i + 2000])
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks, and its memory counts meanwhile
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, ddl)
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 
 from .chunks import TextCoder, chunk_of
 
+#: Words that a coder of the word tokenizer knows, at most; some 200 bytes each.
+WORDS = 300_000
 #: Characters of pieces that go to the library as one text.
 JOINED = 1 << 16
 #: A line of its own between pieces: the line feed itself, or a character that no piece has.
@@ -54,7 +56,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.kind = _kind(self.tokenizer)
-        self.coder = TextCoder(self._of_pieces, self.kind == "bytes")
+        self.coder = TextCoder(self._of_pieces, True) if self.kind == "bytes" else TextCoder(self._of_pieces, False, WORDS)
         self.between = FEED if self.kind == "bytes" else f"\n{MARK}\n"
         got = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.mark = got[0] if len(got) == 1 else -1
